@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on words that toxic documents have
-more often, one on words that ordinary documents have more often, each after
-the same text of words common to both. A document is read in short overlapping
+Two zstandard dictionaries are trained: one on the stretches of text that toxic
+documents have significantly more often, one on those of ordinary documents;
+both end in the same text of common words, so that other text is coded alike. A document is read in short overlapping
 windows; a window that the toxic dictionary makes shorter than the ordinary one
 does, by a calibrated number of bytes, is a hit. The score is a logistic
 function, calibrated on labelled documents that the dictionaries haven't seen,
@@ -40,8 +40,9 @@ TRAIN_CHARS = 4000
 WIDTH, STEP = 64, 48
 DICT_BYTES = 8192
 COMMON_BYTES = 2048
-RATIO = 3.0
-LEAST_DOCS = 4
+GRAM = 6
+SIGNIFICANT = 3.5
+SEGMENTS_MOST = 400
 GAINS = (2, 3, 4, 5)
 LEVEL = 3
 
@@ -78,17 +79,50 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(bias + wa * a + wb * b, -30, 30))))
 
 
-def _dictionary(words: dict[str, int], size: int) -> bytes:
-    """Trained on samples of words, each as often as documents have it; the most frequent also close it, where zstandard finds them at least distance."""
-    samples = [f" {w} ".encode() for w, n in words.items() for _ in range(min(n, 50))]
-    trained = b""
-    if sum(map(len, samples)) > 20 * 256 and len(samples) > 20:
+def _codes(data: bytes) -> np.ndarray:
+    """The GRAM-byte stretches at each place, as numbers."""
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(x) - GRAM + 1), np.uint64)
+    for j in range(GRAM):
+        out |= x[j : j + len(out)] << np.uint64(8 * j)
+    return out
+
+
+def _segments(texts: list[list[bytes]]) -> list[Counter]:
+    """Of each class: stretches of text whose every gram is found in significantly more of its documents, with their numbers of documents."""
+    counted = [np.unique(np.concatenate([np.unique(_codes(t)) for t in group] or [np.zeros(0, np.uint64)]), return_counts=True) for group in texts]
+    n = [len(group) for group in texts]
+    out = []
+    for y in (0, 1):
+        grams, docs = counted[y]
+        other, theirs = counted[1 - y]
+        at = np.searchsorted(other, grams)
+        hit = at < len(other)
+        hit[hit] = other[at[hit]] == grams[hit]
+        expected = np.zeros(len(grams))
+        expected[hit] = theirs[at[hit]] * (n[y] / n[1 - y])
+        own = grams[(docs - expected) >= SIGNIFICANT * np.sqrt(docs + expected + 1)]
+        found: Counter = Counter()
+        for t in texts[y]:
+            codes = _codes(t)
+            at = np.minimum(np.searchsorted(own, codes), max(0, len(own) - 1))
+            inside = own[at] == codes if len(own) else np.zeros(len(codes), bool)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+            found.update({t[a : b + GRAM - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())})
+        out.append(Counter(dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:SEGMENTS_MOST])))
+    return out
+
+
+def _dictionary(segments: Counter, size: int) -> bytes:
+    """Trained on the segments, each as often as documents have it; the most frequent also close it, where zstandard finds them at least distance."""
+    samples = [s for s, n in segments.items() for _ in range(min(n, 50))]
+    total, trained = sum(map(len, samples)), b""
+    if total > 2048 and len(samples) > 50:
         try:
-            trained = zstd.train_dictionary(min(size // 2, sum(map(len, samples)) // 4), samples, k=32, d=6, steps=1).as_bytes()
+            trained = zstd.train_dictionary(min(size // 2, total // 4), samples, k=16, d=6, steps=1).as_bytes()
         except zstd.ZstdError:  # too little to train on
             trained = b""
-    top = " ".join(w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0])))[-size // 2 :]
-    return trained + top.encode()
+    return trained + b"".join(s for s, _ in sorted(segments.items(), key=lambda x: (x[1], x[0])))[-size // 2 :]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -110,18 +144,15 @@ def fit(sample: list[tuple[int, str]], share_toxic: float) -> Model | None:
         return None
     learn = [s for i, s in enumerate(sample) if i % 3] or sample
     rest = sample[::3]
-    if len({y for y, _ in rest}) < 2 or len({y for y, _ in learn}) < 2:
+    if min(len({y for y, _ in part}) for part in (learn, rest)) < 2:
         learn = rest = sample
-    docs, n = [Counter(), Counter()], [0, 0]
-    for y, text in learn:
-        docs[y].update({w.strip(".,;:!?") for w in text.lower().split()})
-        n[y] += 1
-    rate = [{w: (c + 0.0) / n[y] for w, c in docs[y].items()} for y in (0, 1)]
-    own = [{w: c for w, c in docs[y].items() if w and c >= min(LEAST_DOCS, n[y]) and rate[y][w] >= RATIO * (rate[1 - y].get(w, 0) + 1 / n[1 - y])} for y in (0, 1)]
-    both = Counter({w: min(rate[0][w], rate[1][w]) for w in docs[0].keys() & docs[1].keys() if w not in own[0] and w not in own[1]})
-    common = " ".join(sorted(w for w, _ in both.most_common(400)))[:COMMON_BYTES].encode()
+    texts = [[f" {t.lower()} ".encode() for y, t in learn if y == label] for label in (0, 1)]
+    words = [Counter(w for t in group for w in set(t.split())) for group in texts]
+    both = Counter({w: min(words[0][w] / len(texts[0]), words[1][w] / len(texts[1])) for w in words[0].keys() & words[1].keys()})
+    common = b" ".join(sorted(w for w, _ in sorted(both.items(), key=lambda x: (-x[1], x[0]))[:400]))[:COMMON_BYTES]
+    segments = _segments(texts)
     # the same length on both sides, so that distances into the common text are alike
-    ordinary, toxic = (_dictionary(own[y], DICT_BYTES) for y in (0, 1))
+    ordinary, toxic = (_dictionary(segments[y], DICT_BYTES) for y in (0, 1))
     size = max(len(ordinary), len(toxic), 8)
     model = Model(toxic.rjust(size, b"\0") + common, ordinary.rjust(size, b"\0") + common)
     labels = np.array([y for y, _ in rest], float)
