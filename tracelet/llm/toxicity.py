@@ -37,14 +37,18 @@ from tracelet.llm.common import held_out
 
 TRAIN_ROWS = 2000
 TRAIN_CHARS = 4000
-WIDTH, STEP = 64, 48
+WIDTH, STEP = 48, 36
 DICT_BYTES = 8192
 COMMON_BYTES = 2048
-GRAM = 6
-SIGNIFICANT = 3.5
+GRAM = 4
+SIGNIFICANT = 2.5
+GRAMS_MOST = 200
+RATIO = 8.0
 SEGMENTS_MOST = 400
-GAINS = (2, 3, 4, 5)
-LEVEL = 3
+GAINS = (2, 3, 4, 5, 6)
+SURER = 2
+LEVEL = 9
+MIN_MATCH = 4
 
 
 def windows(text: str) -> list[bytes]:
@@ -53,7 +57,7 @@ def windows(text: str) -> list[bytes]:
 
 
 class Model:
-    def __init__(self, toxic: bytes, ordinary: bytes, gain: int = GAINS[0], weights: tuple[float, float, float] = (0.0, 0.0, 0.0)):
+    def __init__(self, toxic: bytes, ordinary: bytes, gain: int = GAINS[0], weights: tuple[float, ...] = (0.0,)):
         self.toxic, self.ordinary, self.gain, self.weights = toxic, ordinary, gain, weights
         self._pair = None
 
@@ -63,20 +67,21 @@ class Model:
     def gains(self, text: str) -> np.ndarray:
         """By window: bytes that the toxic dictionary saves over the ordinary one."""
         if self._pair is None:
-            params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False)
+            params = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=False, write_dict_id=False)
             self._pair = [zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params).compress for d in (self.ordinary, self.toxic)]
         ordinary, toxic = self._pair
         return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], np.int64)
 
     @staticmethod
-    def features(gains: np.ndarray, gain: int) -> tuple[float, float]:
-        hits = int((gains >= gain).sum())
-        return np.log1p(hits), np.log1p(100.0 * hits / max(1, len(gains)))
+    def features(gains: np.ndarray, gain: int) -> tuple[float, ...]:
+        """Of the windows at and well above the threshold: how many, and how large a share."""
+        n, hits, sure = max(1, len(gains)), int((gains >= gain).sum()), int((gains >= gain + SURER).sum())
+        return np.log1p(hits), np.log1p(100.0 * hits / n), np.log1p(sure), np.log1p(100.0 * sure / n)
 
     def score(self, text: str) -> float:
-        a, b = self.features(self.gains(text), self.gain)
-        bias, wa, wb = self.weights
-        return float(1 / (1 + np.exp(-np.clip(bias + wa * a + wb * b, -30, 30))))
+        bias, *slopes = self.weights
+        z = bias + sum(a * b for a, b in zip(slopes, self.features(self.gains(text), self.gain)))
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def _codes(data: bytes) -> np.ndarray:
@@ -101,7 +106,9 @@ def _segments(texts: list[list[bytes]]) -> list[Counter]:
         hit[hit] = other[at[hit]] == grams[hit]
         expected = np.zeros(len(grams))
         expected[hit] = theirs[at[hit]] * (n[y] / n[1 - y])
-        own = grams[(docs - expected) >= SIGNIFICANT * np.sqrt(docs + expected + 1)]
+        sure = np.where(docs >= RATIO * expected, (docs - expected) / np.sqrt(docs + expected + 1), 0)
+        top = np.lexsort([grams, -sure])[:GRAMS_MOST]
+        own = np.sort(grams[top[sure[top] >= SIGNIFICANT]])
         found: Counter = Counter()
         for t in texts[y]:
             codes = _codes(t)
