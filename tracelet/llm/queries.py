@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelet.llm import chat, langid, lines, packing, secrets, toxicity
+from tracelet.llm import chat, decontaminate, fingerprint, langid, lines, packing, secrets, toxicity
 from tracelet.llm.common import table
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
@@ -25,6 +25,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(planted)))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.dedup_lines(docs)
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_order_minhash": op8_order_minhash,
+    "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
