@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,3 +48,47 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelet-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that no later loss of an executor reaches behind it. The files go when the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node of edges (a long, b long): root is the least node that links reach.
+
+    Alternating stars: each node's larger neighbours, then its smaller ones, are tied to the least neighbour. Rows never
+    outnumber the links by more than a constant, and the rounds are about the logarithm of the longest path.
+    """
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    for _ in range(most_rounds):
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").filter("b <> m").select("b", "m").union(low.select(F.col("a").alias("b"), "m"))
+        new = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        same = now.exceptAll(new).isEmpty() and new.exceptAll(now).isEmpty()
+        now = new
+        if same:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

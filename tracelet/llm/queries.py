@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelet.llm import chat, decontaminate, fingerprint, langid, lines, packing, secrets, toxicity
+from tracelet.llm import chat, decontaminate, fingerprint, jaccard, langid, lines, packing, secrets, toxicity
 from tracelet.llm.common import table
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
@@ -59,6 +59,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_order_minhash": op8_order_minhash,
     "op9_decontamination": op9_decontamination,
@@ -93,6 +98,22 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by rn) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(esc) + case when before = role then 7 else 6 + length(esc_role) end + case when after = role then 0 else 8 end)::bigint as formatted_chars
 from o group by conv_id""",
+    "op5_jaccard_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
+), s as (
+  select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: hash(words[i:i + 4])) else [hash(words)] end) as sh from w where len(words) > 0
+), n as (select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all
+), e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)
+), g as (select a, b from e union all select b, a from e
+), r(id, seen) as (
+  select doc_id, doc_id from n union select r.id, g.b from r join g on g.a = r.seen
+)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.least, w.doc_id) as component_id
+from w left join n using (doc_id) left join (select id, min(seen) as least from r group by id) c on c.id = w.doc_id""",
     "op10_line_dedup": r"""
 with l as (
   select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents
