@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelet.llm import chat, decontaminate, fingerprint, jaccard, langid, lines, packing, secrets, toxicity
+from tracelet.llm import chat, decontaminate, fingerprint, jaccard, langid, lines, packing, secrets, toxicity, warc
 from tracelet.llm.common import table
 
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
@@ -63,6 +63,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_toxicity": op7_toxicity,
     "op8_order_minhash": op8_order_minhash,
     "op9_decontamination": op9_decontamination,
