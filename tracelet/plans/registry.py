@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from tracelet.plans.catalog import QUERIES, SQL
+
+FLAGSHIP = "knn_space"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
