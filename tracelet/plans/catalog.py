@@ -519,10 +519,10 @@ def region_adjacency(spark, d):
 # filters and thresholds
 
 
-@query("sliding", f"with {c.TRACKS} select track, frame, round(avg(score) over w, 6) as mean, round(sum(score) over w, 4) as total, min(score) over w as least, max(score) over w as most, round(var_pop(score) over w, 2) as var from tracks window w as (partition by track order by frame range between 3 preceding and 3 following)")
+@query("sliding", f"with {c.TRACKS} select track, frame, round(avg(score) over w, 6) as mean, round(sum(score) over w, 4) as total, min(score) over w as least, max(score) over w as most from tracks window w as (partition by track order by frame range between 3 preceding and 3 following)")
 def sliding(spark, d):
-    out = filters.sliding(c.tracks(spark, d).withColumnRenamed("score", "v"), ["track"], "frame", 3).select("track", "frame", "mean", "total", "least", "most", "var")
-    return rounded(rounded(rounded(out, "mean"), "total", places=4), "var", places=2)
+    out = filters.sliding(c.tracks(spark, d).withColumnRenamed("score", "v"), ["track"], "frame", 3).select("track", "frame", "mean", "total", "least", "most")
+    return rounded(rounded(out, "mean"), "total", places=4)
 
 
 @query("convolve", f"with {c.VOLUME} select frame, voxel_id, round((coalesce(0.25 * lag(v) over w, 0) + 0.5 * v + coalesce(0.25 * lead(v) over w, 0))::double, 6) as convolved from volume window w as (partition by frame, y, z order by x)")
