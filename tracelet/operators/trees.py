@@ -314,3 +314,34 @@ def cut_at(nodes: DataFrame, tau: float) -> DataFrame:
     way = ancestors(nodes).join(leaves, "id").join(nodes.select(F.col("id").alias("ancestor"), "thr"), "ancestor")
     top = way.filter((F.col("thr") <= tau) | (F.col("id") == F.col("ancestor"))).groupBy("id").agg(F.max_by("ancestor", "steps").alias("node"))
     return top.select(F.col("id").alias("leaf"), "node")
+
+
+def extend_dead(nodes: DataFrame, owners: DataFrame, overlaps: DataFrame, frame: int) -> DataFrame:
+    """How nuclei of a frame without child may go on: (id, sv_id, score, owner).
+
+    Each takes the region of the next frame that its own regions (owners: sv_id, id) overlap most (overlaps: a, b,
+    n_common), ties to the smaller. A free region goes to the nucleus that overlaps it most; an owned one is named with its
+    owner, for assign.assign to settle between the two.
+    """
+    dead = children_count(nodes).filter((F.col("n_children") == 0) & (F.col("frame") == frame)).select("id")
+    met = overlaps.join(owners.select(F.col("sv_id").alias("a"), "id"), "a").join(dead, "id").groupBy("id", "b").agg(F.sum("n_common").alias("score"))
+    best = met.groupBy("id").agg(F.max(F.struct("score", (-F.col("b")).alias("m"))).alias("t")).select("id", (-F.col("t.m")).alias("sv_id"), "t.score")
+    held = best.join(owners.select("sv_id", F.col("id").alias("owner")), "sv_id", "left")
+    first = F.row_number().over(Window.partitionBy("sv_id").orderBy(F.desc("score"), "id"))
+    return held.withColumn("turn", first).filter(F.col("owner").isNotNull() | (F.col("turn") == 1)).select("id", "sv_id", "score", "owner")
+
+
+def event_neighbourhoods(nodes: DataFrame, neighbours: DataFrame, radius: int) -> DataFrame:
+    """(event, id): nodes within `radius` steps up or down of each death (before the last frame) and division, with the nearest neighbours (a_id, b_id) of those nodes; taken up again through neighbours until nothing is added."""
+    last = nodes.agg(F.max("frame")).collect()[0][0]
+    n = children_count(nodes)
+    events = n.filter((F.col("n_children") == 2) | ((F.col("n_children") == 0) & (F.col("frame") < last))).select(F.col("id").alias("event"))
+    way = ancestors(nodes).filter(F.col("steps") <= radius).select("id", "ancestor")
+    linked = durable(way.union(way.select(F.col("ancestor").alias("id"), F.col("id").alias("ancestor"))).distinct())
+    got = durable(events.join(linked, F.col("event") == F.col("id")).select("event", F.col("ancestor").alias("id")).distinct())
+    fresh = got
+    while not fresh.isEmpty():
+        near = fresh.join(neighbours.select(F.col("a_id").alias("id"), "b_id"), "id").select("event", F.col("b_id").alias("id")).distinct()
+        fresh = durable(near.join(got, ["event", "id"], "left_anti"))
+        got = durable(got.union(fresh))
+    return got
