@@ -49,3 +49,14 @@ def test_event_neighbourhoods(spark):
     for r in trees.event_neighbourhoods(nodes, near, 1).collect():
         got.setdefault(r["event"], set()).add(r["id"])
     assert got == {6: {5, 6, 2, 3}, 9: {9}}
+
+
+def test_division_of_nuclei_in_parts(spark):
+    owners = spark.createDataFrame([(10, 1), (11, 1), (12, 1), (20, 2), (21, 2), (30, 3), (31, 3)], "sv_id long, id long")
+    touches = spark.createDataFrame([(10, 11, 12), (20, 21, 3), (30, 31, 50)], "a long, b long, n_border long")
+    parts = trees.separated_parts(owners, touches, 10)
+    assert {(r["sv_id"], r["part"], r["n_parts"]) for r in parts.collect()} == {(10, 10, 2), (11, 10, 2), (12, 12, 2), (20, 20, 2), (21, 21, 2), (30, 30, 1), (31, 30, 1)}
+    nodes = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 0.0), (2, None, 1, 0.0, 0.0, 0.0), (0, None, 0, 0.0, 0.0, 0.0)], "id long, parent long, frame long, x double, y double, z double")
+    centres = spark.createDataFrame([(10, 1.0, 0.0, 0.0), (12, -1.0, 0.0, 0.0), (20, 1.0, 0.0, 0.0), (21, 2.0, 0.0, 0.0)], "part long, x double, y double, z double")
+    got = {(r["id"], r["part"]): r["role"] for r in trees.detect_divisions(nodes, parts, centres).collect()}
+    assert got == {(1, 10): "first", (1, 12): "second", (2, 20): "first", (2, 21): "second"}

@@ -345,3 +345,37 @@ def event_neighbourhoods(nodes: DataFrame, neighbours: DataFrame, radius: int) -
         fresh = durable(near.join(got, ["event", "id"], "left_anti"))
         got = durable(got.union(fresh))
     return got
+
+
+def separated_parts(owners: DataFrame, touches: DataFrame, least_border: int) -> DataFrame:
+    """(id, sv_id, part, n_parts): the connected parts of each nucleus' regions (owners: sv_id, id), where two regions hang together if they touch (a, b, n_border) in at least so many voxels. A part is named by its least region."""
+    from tracelet.operators import graph
+
+    a = owners.select(F.col("sv_id").alias("a"), F.col("id").alias("ia"))
+    b = owners.select(F.col("sv_id").alias("b"), F.col("id").alias("ib"))
+    edges = touches.filter(F.col("n_border") >= least_border).join(a, "a").join(b, "b").filter("ia = ib").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    parts = graph.components(edges, owners.select(F.col("sv_id").alias("node"))).select(F.col("node").alias("sv_id"), F.col("component").alias("part"))
+    n = owners.join(parts, "sv_id")
+    return n.join(n.groupBy("id").agg(F.count_distinct("part").alias("n_parts")), "id").select("id", "sv_id", "part", "n_parts")
+
+
+def detect_divisions(nodes: DataFrame, parts: DataFrame, centroids: DataFrame, scale: Sequence[float] = ISOTROPIC) -> DataFrame:
+    """(id, part, role) of nuclei in several parts: role is 'first' (the daughter that keeps the node), 'second' or 'birth'.
+
+    centroids (part, x, y, z). Of two parts the second is the sister. Of more, the pair whose division plane passes nearest to
+    the parent are the daughters (ties to the smaller parts), the rest births; without a parent the first part stays and the
+    rest are births. A node whose parent already has two children is left alone.
+    """
+    kids = children_count(nodes).select(F.col("id").alias("parent"), "n_children")
+    open_ = nodes.join(kids, "parent", "left").filter(F.coalesce("n_children", F.lit(0)) < 2).select("id", "parent")
+    p = parts.filter("n_parts > 1").select("id", "part", "n_parts").distinct().join(open_, "id").join(centroids.withColumnsRenamed({c: f"p{c}" for c in AXES}), "part")
+    up = nodes.select(F.col("id").alias("parent"), *AXES)
+    other = p.select("id", F.col("part").alias("part2"), *[F.col(f"p{c}").alias(f"q{c}") for c in AXES])
+    pairs = p.join(other, "id").filter("part < part2").join(up, "parent")
+    d = division_plane_distance([F.col(c) for c in AXES], [F.col(f"p{c}") for c in AXES], [F.col(f"q{c}") for c in AXES], scale)
+    best = pairs.groupBy("id").agg(F.min(F.struct(F.coalesce(d, F.lit(float("inf"))).alias("d"), "part", "part2")).alias("b")).select("id", "b.part2", F.col("b.part").alias("part1"))
+    least = p.groupBy("id").agg(F.min("part").alias("least"), F.min(F.struct("n_parts")).alias("k"))
+    r = p.select("id", "part", "parent").join(best, "id", "left").join(least, "id")
+    second = F.when((F.col("k.n_parts") == 2) & F.col("part1").isNull(), F.lit(None)).otherwise(F.col("part2"))
+    role = F.when(F.col("part") == F.coalesce("part1", "least"), "first").when(F.col("part") == second, "second").when(F.col("part1").isNull() & (F.col("k.n_parts") == 2), "second").otherwise("birth")
+    return r.select("id", "part", role.alias("role"))
