@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelet.llm.common import frugal
 from tracelet.llm.words import WordHashes, shingles
 
 SEED = 3
@@ -183,7 +184,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str,
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["seed", "n"])
 
-        counted = docs.select(text_col).mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most one row for each seed of the block
+        counted = docs.select(text_col).mapInArrow(frugal(count), "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most one row for each seed of the block
         items.keep_rarest({int(items.kept[r["seed"]]): r["n"] for r in counted})
         yield context.broadcast(items)
 
@@ -214,7 +215,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     )
 
         item_kind = {"bigint": pa.int64(), "int": pa.int32()}.get(benchmark.schema[item_id].dataType.simpleString(), pa.string())
-        out = out.unionAll(docs.select(id_col, text_col).mapInArrow(run, schema))
+        out = out.unionAll(docs.select(id_col, text_col).mapInArrow(frugal(run), schema))
     return out
 
 
@@ -233,5 +234,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     found = {f[0] for f in _findings(items, words, threshold)}
                     yield part.filter(pa.array([r not in found for r in range(part.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(frugal(run), docs.schema)
     return out

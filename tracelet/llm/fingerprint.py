@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelet.llm.common import frugal
 from tracelet.llm.words import MULTIPLIERS, WordHashes, mix, shingles
 
 K, HASHES = 3, 48
@@ -112,7 +113,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spell(make.of(t.as_py() or "")) for t in batch.column(1)], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str, ranges: int | None = None) -> DataFrame:
@@ -143,7 +144,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, ranges: int | None = N
                 rows = batch.take(pa.array(take[a : a + 2000]))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(halo[a : a + 2000]), pa.array(to[a : a + 2000], pa.int32())], ["id", "text", "halo", "part"])
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(deal, "id long, text string, halo boolean, part int")
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(frugal(deal), "id long, text string, halo boolean, part int")
     return dealt.repartitionById(parts, F.col("part")).select("id", "text", "halo").sortWithinPartitions("halo", "id", "text")
 
 
@@ -175,4 +176,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs, id_col, text_col, ranges).mapInArrow(run, schema)
+    return in_order(docs, id_col, text_col, ranges).mapInArrow(frugal(run), schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelet.llm.common import held_out
+from tracelet.llm.common import frugal, held_out
 
 HIDDEN = 8
 WINDOW = 64
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(id_col, held_out(id_col).alias("held_out"), text_col)
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:

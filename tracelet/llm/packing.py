@@ -31,12 +31,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tracelet.llm.common import frugal
+
 WINDOW = 2048
 END_ID = 1
 OPEN_MOST = 4096
-CACHE_MOST = 300_000
+CACHE_MOST = 200_000
 CACHE_CHARS = 64
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 4_000_000
 LETTERS_BELOW = "\u0130"  # letters up to here stay one letter in lower case
 MARKS = ".,;:!?$%&*#)(|-"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -235,7 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             placed = []
             for doc, ids in zip(batch.column(0).to_pylist(), toks.encode(batch.column(1))):
                 placed += packer.put(doc, ids + end)
-                if len(placed) > 10_000 or with_ids and len(placed) > 500:
+                if len(placed) > 500:
                     yield rows(placed)
                     placed = []
             if placed:
@@ -245,4 +247,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = SCHEMA.replace("doc_id long", f"doc_id {kind}") + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), schema)

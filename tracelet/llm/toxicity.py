@@ -33,7 +33,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelet.llm.common import held_out
+from tracelet.llm.common import frugal, held_out
 
 TRAIN_ROWS = 2000
 TRAIN_CHARS = 4000
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, held_out(id_col).alias("held_out"), text_col).mapInArrow(frugal(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -214,4 +214,4 @@ def reject_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py() or "") < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
