@@ -16,11 +16,25 @@ Shingles of one document come first and never need to be sent anywhere, so a
 document with more than t of its own drops out. How many groups there are
 depends on the larger set's size; a set near a power of two is entered twice.
 
+Kinds. Only shingles of several documents can be common, so classes with the
+same shared shingles (a kind) have the same intersection with any other set,
+and of a kind the smallest class links whenever a larger one does. So only the
+smallest class of each kind is entered, and the others follow from their sizes:
+within the kind by the number of its shared shingles, and to another kind by
+the intersection of the two smallest classes. A prefix that reaches the frequent
+shingles holds all of its set's rare ones, so two such sets either meet at a
+rare shingle or have only frequent ones in common. Hence lists of frequent
+signatures hold just the smallest class of those with the same frequent
+shingles; again the others follow from their sizes. Lists of rare signatures
+have at most RARE members. (Shared shingles are told by the range and 32 more
+bits of the hash; every intersection is of the full hashes.)
+
 Links. Classes of one signature aren't paired all with all at once: each is
 tried against one pivot of the list, links are closed to components, and lists
-that lie within one component are done; after a few rounds with other pivots
-the pairs still between components are all tried. Every pair that could link is
-either tried by its exact sets or known to be connected.
+that lie within one component are done, as are lists with the same members as
+another; after a few rounds with other pivots the pairs still between
+components are all tried, and those of kinds with a class that hasn't linked by
+its size. Every pair that could link is either tried or known to be connected.
 
 Defined cases: a null text is the empty text; null ids are allowed and stand
 for no component's least id unless all its ids are null; rows of equal ids each
@@ -46,7 +60,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelet.llm.common import connected, cut, explode_salts, salt_bits, salt_of
+from tracelet.llm.common import connected, cut, explode_salts, frugal, salt_bits, salt_of
 from tracelet.llm.words import WordHashes, mix, shingles
 
 SHINGLE, PERCENT = 5, 75
@@ -199,13 +213,13 @@ def schemes(n: int) -> list[int]:
 
 
 def _sign(bits: int):
-    """By chunk: rows (kind, x, class, n): kind 0 the documents (x: id), kind 1 the signatures (x) of each class that may link."""
+    """By chunk: rows (row, x, class, n, kind): row 0 the documents (x: id), row 1 the classes that may link (x: number of shared shingles), row 2 the rare signatures (x) of the smallest class of each kind in the chunk, rows 3 and 4 the same for frequent shingles and kinds by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 1):
             head = next(d for r, _, d in rows if r < 0)
             ids, classes, sizes = _unpack(head, np.int64, np.int64, np.int64)
-            yield _rows(0, ids, classes, sizes)
+            yield _rows(0, ids, classes, sizes, np.zeros(len(ids), np.int64))
             parts = [(r, *_unpack(d, np.uint32, np.uint32, np.uint16)) for r, _, d in rows if r >= 0]
             if not parts:
                 continue
@@ -219,12 +233,34 @@ def _sign(bits: int):
             order = np.lexsort([token, docs, who])
             token, docs, who = token[order], docs[order], who[order]
             starts = np.searchsorted(who, np.arange(len(ids) + 1))
+            able = np.flatnonzero(np.diff(starts))
+            if not len(able):
+                continue
             rank = np.arange(len(who)) - starts[who]
             rare = docs <= RARE
-            single = rare & (rank < wanted[who])
-            signs, owner = [mix(token[single])], [who[single]]
             rares = np.bincount(who[rare], minlength=len(ids))
-            for i in np.flatnonzero((wanted > rares) & (np.diff(starts) > 0)).tolist():
+
+            def smallest(who_can: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Kinds by the shared shingles from `first` on, and which documents are the smallest of theirs."""
+                kind, top = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+                kind[who_can] = [class_of(np.sort(token[first[i] : starts[i + 1]])) for i in who_can.tolist()]
+                order = who_can[np.lexsort([classes[who_can], sizes[who_can], kind[who_can]])]
+                top[order[np.diff(kind[order], prepend=kind[order[:1]] + 1) != 0]] = True
+                return kind, top
+
+            kind, top = smallest(able, starts[:-1])
+            yield _rows(1, shared[able], classes[able], sizes[able], kind[able])
+            single = np.flatnonzero(rare & (rank < wanted[who]) & top[who])
+            for a in range(0, len(single), 100_000):
+                o = who[single[a : a + 100_000]]
+                yield _rows(2, mix(token[single[a : a + 100_000]]).view(np.int64), classes[o], sizes[o], kind[o])
+            reach = np.flatnonzero((wanted > rares) & top)
+            if not len(reach):
+                continue
+            kind, top = smallest(reach, starts[:-1] + rares)
+            yield _rows(3, shared[reach] - rares[reach], classes[reach], sizes[reach], kind[reach])
+            signs, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i in np.flatnonzero(top).tolist():
                 tokens = token[starts[i] + rares[i] : starts[i + 1]]
                 for scheme in schemes(int(sizes[i])):
                     for group in frequent_prefix(tokens, int(wanted[i] - rares[i]), max(1, (1 << scheme) // 16)):
@@ -235,17 +271,13 @@ def _sign(bits: int):
             sign, own = np.concatenate(signs), np.concatenate(owner)
             for a in range(0, len(sign), 100_000):
                 o = own[a : a + 100_000]
-                yield _rows(1, sign[a : a + 100_000].view(np.int64), classes[o], sizes[o])
+                yield _rows(4, sign[a : a + 100_000].view(np.int64), classes[o], sizes[o], kind[o])
 
     return run
 
 
-def _rows(kind: int, x: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(c), pa.array(n.astype(np.int32))], ["kind", "x", "class", "n"])
-
-
-def _sized(a: str, b: str) -> str:
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+def _rows(row: int, x: np.ndarray, c: np.ndarray, n: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), row, np.int32)), pa.array(x.astype(np.int64)), pa.array(c), pa.array(n.astype(np.int32)), pa.array(kind)], ["row", "x", "class", "n", "kind"])
 
 
 def _class_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -273,36 +305,53 @@ def _class_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
     rows = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(bits)).alias("q"))
-    read = rows.mapInArrow(run, "id long, class long, shingles array<long>")
+    read = rows.mapInArrow(frugal(run), "id long, class long, shingles array<long>")
     return cut(read.join(wanted, ["id", "class"], "left_semi").dropDuplicates(["class"]).select("class", "shingles"))
 
 
+def _fits(sizes: str, common: str) -> str:
+    """Whether sets whose sizes add up to `sizes` link with so many shingles in common."""
+    return f"{PERCENT} * ({sizes}) <= {100 + PERCENT} * {common}"
+
+
 def _verify(pairs: DataFrame, class_sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link."""
+    """Those of pairs (a, b) that link, with their sizes na and nb and the number of common shingles."""
     b = class_sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     a = class_sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(b, "b").join(a, "a").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    met = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return met.filter(_fits("na + nb", "common"))
 
 
 def _pairs(lists: DataFrame, turn: int | None) -> DataFrame:
-    """From (x, class, n, comp) pairs (a, b) of classes in different components: with each list's pivot of this turn, or all (None)."""
+    """From (x, class, n, own, most, comp, left) pairs (a, b) of classes in different components: with each list's pivot of this turn, or all (None), then with those of kinds that have classes left.
+
+    The pivot is the class with the least share of shingles of its own, which is nearest to the others; in the last turn any.
+    Pairs whose sizes can't fit with the shingles that either could have in common are left out.
+    """
     if turn is None:
-        other = lists.select("x", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        met = lists.join(other, "x").filter("class < class2 and comp <> comp2").filter(_sized("n", "n2"))
+        other = lists.select("x", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("comp").alias("comp2"), F.col("left").alias("left2"))
+        met = lists.join(other, "x").filter("class < class2 and (comp <> comp2 or left or left2)").filter(_fits("n + n2", "least(most, most2)"))
         return met.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
-    order = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    pivots = lists.groupBy("x").agg(F.min(order).alias("p")).select("x", "p.class2", "p.n2", "p.comp2")
-    met = lists.join(pivots, "x").filter("comp <> comp2").filter(_sized("n", "n2")).groupBy("class", "class2").agg(F.count("*").alias("k"))
+    centre = F.lit(0) if turn == STAR_ROUNDS - 1 else F.col("own") / F.col("n")
+    order = F.struct(centre.alias("far"), F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("comp").alias("comp2"))
+    pivots = lists.groupBy("x").agg(F.min(order).alias("p")).select("x", "p.class2", "p.n2", "p.most2", "p.comp2")
+    met = lists.join(pivots, "x").filter("comp <> comp2").filter(_fits("n + n2", "least(most, most2)")).groupBy("class", "class2").agg(F.count("*").alias("k"))
     if turn == 0:  # the partner of most lists
         met = met.groupBy("class").agg(F.max_by("class2", F.struct("k", "class2")).alias("class2"))
     return met.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
 
 
 def _open_lists(lists: DataFrame) -> DataFrame:
-    """The lists that reach over several components."""
-    wide = lists.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("x")
-    return cut(lists.join(wide, "x", "left_semi"))
+    """The lists that reach over several components, or hold several classes one of which has classes of its kind left; of lists with the same members, one.
+
+    A class leaves a list where even the smallest member is too large for what the two could have in common (most).
+    """
+    least = lists.groupBy("x").agg(F.min("n").alias("n0"))
+    lists = lists.join(least, "x").filter(_fits("n + n0", "most")).drop("n0")
+    marks = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    wide = lists.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("left").alias("l"), F.count("*").alias("k"), *marks).filter("lo < hi or (l and k > 1)")
+    one = wide.groupBy("m0", "m1", "k").agg(F.min("x").alias("x")).select("x")
+    return cut(lists.join(one, "x", "left_semi"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,42 +359,55 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bits = _ranges(docs, text_col)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(_deal(bits), PACKED)
-    counted = dealt.repartition(parts, F.when(F.col("range") < 0, F.col("chunk")).otherwise(F.col("range").cast("long"))).sortWithinPartitions("range", "chunk").mapInArrow(_count, PACKED)
-    signed = cut(counted.repartition(parts, "chunk").sortWithinPartitions("chunk", "range").mapInArrow(_sign(bits), "kind int, x long, class long, n int"))
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(frugal(_deal(bits)), PACKED)
+    counted = dealt.repartition(parts, F.when(F.col("range") < 0, F.col("chunk")).otherwise(F.col("range").cast("long"))).sortWithinPartitions("range", "chunk").mapInArrow(frugal(_count), PACKED)
+    signed = cut(counted.repartition(parts, "chunk").sortWithinPartitions("chunk", "range").mapInArrow(frugal(_sign(bits)), "row int, x long, class long, n int, kind long"))
 
-    base = signed.filter("kind = 0").select(F.col("x").alias("id"), "class", "n")
+    base = signed.filter("row = 0").select(F.col("x").alias("id"), "class", "n")
     first = base.groupBy("class").agg(F.min("id").alias("id"))
-    lists = signed.filter("kind = 1").select("x", "class", "n").distinct().withColumn("comp", F.col("class"))
+    links, rests, lists = None, [], None
+    for members, signatures in ((1, 2), (3, 4)):
+        able = signed.filter(F.col("row") == members).groupBy("kind", "class", "n").agg(F.min("x").alias("shared"))
+        smallest = able.groupBy("kind").agg(F.min(F.struct("n", "class", "shared")).alias("s")).select("kind", F.col("s.class").alias("top"), F.col("s.n").alias("top_n"), (F.col("s.n") - F.col("s.shared")).alias("own"), F.col("s.shared").alias("most"))
+        others = cut(able.join(smallest, "kind").filter("class <> top").withColumn("linked", F.expr(_fits("n + top_n", "shared"))))
+        sure = others.filter("linked").select(F.col("class").alias("a"), F.col("top").alias("b"))
+        links = sure if links is None else links.union(sure)
+        rests.append(others.filter("not linked").select("top", "class", "n"))
+        left = rests[-1].select(F.col("top").alias("class")).distinct().withColumn("left", F.lit(True))
+        entered = signed.filter(F.col("row") == signatures).select("x", "class", "n", "kind").distinct().join(smallest.select("kind", F.col("top").alias("class"), "own", "most"), ["kind", "class"])
+        entered = entered.join(left, "class", "left").select("x", "class", "n", "own", "most", F.col("class").alias("comp"), F.coalesce("left", F.lit(False)).alias("left"))
+        lists = entered if lists is None else lists.union(entered)
     lists = _open_lists(lists)
-    links, class_sets, tried = None, None, None
+    class_sets, tried, met = None, None, None
     for turn in [*range(STAR_ROUNDS), None]:
         if lists.isEmpty():
             break
         if class_sets is None:
-            class_sets = _class_sets(docs, id_col, text_col, cut(lists.select("class").distinct().join(first, "class")))
+            class_sets = _class_sets(docs, id_col, text_col, cut(lists.select("class").union(rests[1].select("class")).distinct().join(first, "class")))
         pairs = _pairs(lists, turn)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.union(pairs)
         new = cut(_verify(pairs, class_sets))
-        if turn is None or new.isEmpty():
-            links = new if links is None else links.union(new)
-            continue
-        links = new if links is None else links.union(new)
-        roots = cut(connected(links))
-        plain = lists.drop("comp").join(roots.withColumnRenamed("node", "class"), "class", "left")
-        lists = _open_lists(plain.select("x", "class", "n", F.coalesce("root", "class").alias("comp")))
+        met = new if met is None else met.union(new)
+        if turn is not None and not new.isEmpty():
+            roots = cut(connected(met.select("a", "b")))
+            plain = lists.drop("comp").join(roots.withColumnRenamed("node", "class"), "class", "left")
+            lists = _open_lists(plain.select("x", "class", "n", "own", "most", F.coalesce("root", "class").alias("comp"), "left"))
+    if met is not None:
+        both = met.select("a", F.col("b").alias("top"), "na", "common").union(met.select(F.col("b").alias("a"), F.col("a").alias("top"), F.col("nb").alias("na"), "common"))
+        room = F.expr(f"{100 + PERCENT} * common - {PERCENT} * na")
+        widest = both.groupBy("top").agg(F.max(F.struct(room.alias("room"), "a")).alias("w")).select("top", "w.room", "w.a")
+        by_size = rests[0].join(widest, "top").filter(f"{PERCENT} * n <= room").select(F.col("class").alias("b"), "a").select("a", "b")
+        # of these the intersection may have lost the rare shingles of the smallest classes, so they are tried
+        near = cut(rests[1].join(both, "top").filter(_fits("n + na", "common")).filter("a <> class").select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct())
+        links = links.union(met.select("a", "b")).union(by_size).union(_verify(near, class_sets).select("a", "b"))
 
     salted = base.withColumn("salt", salt_of(F.col("id")))
-    if links is not None:
-        roots = connected(links)
-        classes = base.groupBy("class").agg(F.min(_real("id")).alias("least"), salt_bits(salt_of(F.col("id"))).alias("bits"))
-        named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        least = named.groupBy("root").agg(F.min("least").alias("component"))
-        named = named.join(least, "root").select("class", "component", explode_salts(F.col("bits")).alias("salt"))
-    else:
-        classes = base.groupBy("class").agg(F.min(_real("id")).alias("component"), salt_bits(salt_of(F.col("id"))).alias("bits"))
-        named = classes.select("class", "component", explode_salts(F.col("bits")).alias("salt"))
+    roots = connected(links)
+    classes = base.groupBy("class").agg(F.min(_real("id")).alias("least"), salt_bits(salt_of(F.col("id"))).alias("bits"))
+    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.join(least, "root").select("class", "component", explode_salts(F.col("bits")).alias("salt"))
     out = salted.filter("n > 0").join(named, ["class", "salt"], "left").select("id", "n", "component")
     out = out.union(salted.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(_real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), _real("component").alias("component_id"))
