@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Words are lower-cased, cut at white space, without marks at both ends. A
-benchmark item's seeds are its word n-grams; how many documents of the corpus
-have each is counted, and each item keeps its rarest ones. Where a document has
-a seed, the passage around it is aligned with the whole item by
-Smith-Waterman over words; the score is the best alignment's part of a perfect
-one. Passages at or over the threshold are reported.
+benchmark item's seeds are its word n-grams, all of them: which ones an edited
+copy has kept can't be told from how many documents have each. Where a document
+has a seed, the passage around it, as wide as an alignment over the threshold
+can be, is aligned with the whole item by Smith-Waterman over words; the score
+is the best alignment's part of a perfect one. Passages at or over the
+threshold are reported; one without any SEED words of the item in a row isn't
+looked for.
 
 Defined cases: a null or empty text or item has no words and matches nothing;
 an item of fewer than SEED words is looked for as a whole; repeated items and
@@ -16,7 +18,8 @@ drop_contaminated.
 
 How it scales: the items are a stated query set, held against all rows in
 blocks of at most BLOCK_BYTES of text, each of which is sent to the executors.
-Documents are read twice for each block, and only counts and findings move.
+Documents are read once for each block, and only findings move. A seed that many
+documents or items have costs an alignment for each pair of them.
 """
 
 from __future__ import annotations
@@ -32,8 +35,6 @@ from tracelet.llm.common import frugal
 from tracelet.llm.words import WordHashes, shingles
 
 SEED = 3
-RAREST = 0.6
-LEAST_SEEDS = 8
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 16_000_000
@@ -54,30 +55,12 @@ class Items:
         self.seed = np.array([x[0] for x in at], np.uint64)
         self.item = np.array([x[1] for x in at], np.int64)
         self.place = np.array([x[2] for x in at], np.int64)
-        self.kept = np.unique(self.seed)
-        self._sieve()
-
-    def _sieve(self) -> None:
-        """Seeds in order, with the runs of (item, place) of each."""
-        keep = np.isin(self.seed, self.kept)
-        order = np.flatnonzero(keep)[np.argsort(self.seed[keep], kind="stable")]
-        self.by_seed = order
-        self.runs = np.searchsorted(self.seed[order], np.append(self.kept, np.uint64(np.iinfo(np.uint64).max)))
+        self.kept, runs = np.unique(self.seed, return_counts=True)
+        self.by_seed = np.argsort(self.seed, kind="stable")
+        self.runs = np.append(0, np.cumsum(runs))
         self.bits = np.zeros(1 << FILTER_BITS, bool)
         self.bits[self.kept >> np.uint64(64 - FILTER_BITS)] = True
 
-    def keep_rarest(self, docs_with: dict[int, int]) -> None:
-        """Each item keeps the rarer part of its seeds, and any as rare as the last of them."""
-        keep = set()
-        for i in range(len(self.ids)):
-            seeds = self.seed[self.item == i].tolist() if len(self.ids) < 2000 else self.seed[slice(*np.searchsorted(self.item, [i, i + 1]))].tolist()
-            n = sorted(docs_with.get(s, 0) for s in set(seeds))
-            if n:
-                most = n[min(len(n), max(LEAST_SEEDS, int(np.ceil(RAREST * len(n))))) - 1]
-                keep |= {s for s in seeds if docs_with.get(s, 0) <= most}
-        self.kept = np.array(sorted(keep), np.uint64)
-        self._sieve()
-
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the text, and the number in kept of the seed found there."""
         places, which = [], []
@@ -93,8 +76,8 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(places), np.concatenate(which)
 
-    def passages(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from, to): where the item may lie, joined where they overlap."""
+    def passages(self, words: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+        """(item, from, to): where the item may lie, joined where they overlap; with room for as many gaps as the threshold allows."""
         places, which = self.hits(words)
         spans: dict[int, list[int]] = {}
         for p, w in zip(places.tolist(), which.tolist()):
@@ -103,11 +86,11 @@ class Items:
         out = []
         for item, starts in spans.items():
             m = len(self.words[item])
-            slack = m // 2 + 2
+            slack = int((1 - threshold) * MATCH * m / -GAP) + 2
             now = None
             for d in sorted(set(starts)):
                 a, b = max(0, d - slack), min(len(words), d + m + slack)
-                if now and a <= now[1] and b - now[0] <= 4 * m + 64:
+                if now and a <= now[1] and b - now[0] <= 4 * (m + slack) + 64:
                     now[1] = b
                 else:
                     if now:
@@ -143,7 +126,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 def _findings(items: Items, words: list[np.ndarray], threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, from word, to word) of the passages at or over the threshold, the best of each row and item."""
-    todo = [(row, item, x, y) for row, w in enumerate(words) for item, x, y in items.passages(w)]
+    todo = [(row, item, x, y) for row, w in enumerate(words) for item, x, y in items.passages(w, threshold)]
     todo.sort(key=lambda t: (len(items.words[t[1]]), t[3] - t[2]))
     best: dict[tuple[int, object], tuple] = {}
     at = 0
@@ -164,28 +147,13 @@ def _findings(items: Items, words: list[np.ndarray], threshold: float) -> list[t
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str) -> Iterator:
-    """A broadcast Items for each block, with its rarest seeds chosen."""
+    """A broadcast Items for each block."""
     wanted = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter(F.length("text") > 0)
     total = wanted.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = -(-total // BLOCK_BYTES)
     context = docs.sparkSession.sparkContext
     for b in range(blocks):
         items = Items([(r["id"], r["text"]) for r in wanted.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()])
-        shared = context.broadcast(items)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, items = WordHashes(MARKS), shared.value
-            n = np.zeros(len(items.kept), np.int64)
-            for batch in batches:
-                for t in batch.column(0):
-                    if t.is_valid:
-                        w = hashes.of(t.as_py())
-                        n[np.unique(items.hits(w[w != 0])[1])] += 1
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["seed", "n"])
-
-        counted = docs.select(text_col).mapInArrow(frugal(count), "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most one row for each seed of the block
-        items.keep_rarest({int(items.kept[r["seed"]]): r["n"] for r in counted})
         yield context.broadcast(items)
 
 
