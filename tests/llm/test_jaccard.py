@@ -30,9 +30,9 @@ def naive(rows):
     return sorted((str(d), len(sets[i]), str(ids.get(root(i)))) for i, (d, _) in enumerate(rows))
 
 
-def found(spark, rows):
+def found(spark, rows, parts=3):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("n", F.lit(1)).withColumn("class", F.lit(1))
-    return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.components(d.repartition(3)).collect())
+    return sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.components(d.repartition(parts)).collect())
 
 
 def near_copies(rng, base, n, most):
@@ -65,6 +65,25 @@ def test_equals_brute_force(spark, monkeypatch, seed):
     assert found(spark, rows) == naive(rows)
 
 
+def words(name, n):
+    return [f"{name}{i}" for i in range(n)]
+
+
+def test_larger_class_of_a_kind_in_frequent_lists(spark, monkeypatch):
+    """a has the shared shingles of t, but links only with b, which t meets only in lists of frequent shingles that a pivot c has closed."""
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    texts = []
+    for k in range(8):  # other hashes, so other pivots
+        s, c = words(f"s{k}.", 104), words(f"c{k}.", 10)
+        texts += [s + words(f"t{k}.", 8), s + words(f"a{k}.", 26), s[:99], s + c]
+        texts += [s + c + words(f"l{k}.{j}.", 300) for j in range(4)]
+    rows = list(enumerate(" ".join(w) for w in texts))
+    want = naive(rows)
+    assert len({r[2] for r in want}) == 8 * 5
+    for parts in (1, 3):
+        assert found(spark, rows, parts) == want
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(5, long), (4, long + " more"), (3, None), (2, ""), (7, "x"), (7, "x"), (None, "x"), (9, "x y z"), (8, None)]

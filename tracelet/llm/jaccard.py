@@ -342,13 +342,13 @@ def _pairs(lists: DataFrame, turn: int | None) -> DataFrame:
 
 
 def _open_lists(lists: DataFrame) -> DataFrame:
-    """The lists that reach over several components, or hold several classes one of which has classes of its kind left; of lists with the same members, one.
+    """The lists that reach over several components, or hold several classes one of which has classes of its kind left; of lists with the same members (and what those could have in common), one.
 
     A class leaves a list where even the smallest member is too large for what the two could have in common (most).
     """
     least = lists.groupBy("x").agg(F.min("n").alias("n0"))
     lists = lists.join(least, "x").filter(_fits("n + n0", "most")).drop("n0")
-    marks = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    marks = [F.bit_xor(F.xxhash64("class", "most", "left", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
     wide = lists.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("left").alias("l"), F.count("*").alias("k"), *marks).filter("lo < hi or (l and k > 1)")
     one = wide.groupBy("m0", "m1", "k").agg(F.min("x").alias("x")).select("x")
     return cut(lists.join(one, "x", "left_semi"))
@@ -365,16 +365,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     base = signed.filter("row = 0").select(F.col("x").alias("id"), "class", "n")
     first = base.groupBy("class").agg(F.min("id").alias("id"))
-    links, rests, lists = None, [], None
-    for members, signatures in ((1, 2), (3, 4)):
+    links, rests, tops, lists = None, [], [], None
+    for members in (1, 3):
         able = signed.filter(F.col("row") == members).groupBy("kind", "class", "n").agg(F.min("x").alias("shared"))
         smallest = able.groupBy("kind").agg(F.min(F.struct("n", "class", "shared")).alias("s")).select("kind", F.col("s.class").alias("top"), F.col("s.n").alias("top_n"), (F.col("s.n") - F.col("s.shared")).alias("own"), F.col("s.shared").alias("most"))
         others = cut(able.join(smallest, "kind").filter("class <> top").withColumn("linked", F.expr(_fits("n + top_n", "shared"))))
         sure = others.filter("linked").select(F.col("class").alias("a"), F.col("top").alias("b"))
         links = sure if links is None else links.union(sure)
         rests.append(others.filter("not linked").select("top", "class", "n"))
-        left = rests[-1].select(F.col("top").alias("class")).distinct().withColumn("left", F.lit(True))
-        entered = signed.filter(F.col("row") == signatures).select("x", "class", "n", "kind").distinct().join(smallest.select("kind", F.col("top").alias("class"), "own", "most"), ["kind", "class"])
+        tops.append(smallest.select("kind", F.col("top").alias("class"), "own", "most"))
+    left = rests[0].select("top").union(rests[1].select("top")).select(F.col("top").alias("class")).distinct().withColumn("left", F.lit(True))
+    for smallest, signatures in zip(tops, (2, 4)):
+        entered = signed.filter(F.col("row") == signatures).select("x", "class", "n", "kind").distinct().join(smallest, ["kind", "class"])
         entered = entered.join(left, "class", "left").select("x", "class", "n", "own", "most", F.col("class").alias("comp"), F.coalesce("left", F.lit(False)).alias("left"))
         lists = entered if lists is None else lists.union(entered)
     lists = _open_lists(lists)
