@@ -84,6 +84,22 @@ def test_larger_class_of_a_kind_in_frequent_lists(spark, monkeypatch):
         assert found(spark, rows, parts) == want
 
 
+def test_larger_class_links_through_frequent_shingles_only(spark, monkeypatch):
+    """y has the shared shingles of t, but links only with x, which is the smallest class with their frequent ones."""
+    monkeypatch.setattr(jaccard, "RARE", 3)
+    texts = []
+    for k in range(4):
+        x = words(f"x{k}.", 104)
+        r = x + words(f"r{k}.", 2)
+        texts += [x, r + words(f"t{k}.", 8), r + words(f"y{k}.", 28)]
+        texts += [x + words(f"l{k}.{j}.", 300) for j in range(4)]
+    rows = list(enumerate(" ".join(w) for w in texts))
+    want = naive(rows)
+    assert len({r[2] for r in want}) == 4 * 5
+    for parts in (1, 3):
+        assert found(spark, rows, parts) == want
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(5, long), (4, long + " more"), (3, None), (2, ""), (7, "x"), (7, "x"), (None, "x"), (9, "x y z"), (8, None)]

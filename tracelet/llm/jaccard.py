@@ -25,7 +25,8 @@ the intersection of the two smallest classes. A prefix that reaches the frequent
 shingles holds all of its set's rare ones, so two such sets either meet at a
 rare shingle or have only frequent ones in common. Hence lists of frequent
 signatures hold just the smallest class of those with the same frequent
-shingles; again the others follow from their sizes. Lists of rare signatures
+shingles; again the others follow from their sizes, and so do the larger classes
+of a kind that don't link with its smallest. Lists of rare signatures
 have at most RARE members. (Shared shingles are told by the range and 32 more
 bits of the hash; every intersection is of the full hashes.)
 
@@ -213,7 +214,7 @@ def schemes(n: int) -> list[int]:
 
 
 def _sign(bits: int):
-    """By chunk: rows (row, x, class, n, kind): row 0 the documents (x: id), row 1 the classes that may link (x: number of shared shingles), row 2 the rare signatures (x) of the smallest class of each kind in the chunk, rows 3 and 4 the same for frequent shingles and kinds by them."""
+    """By chunk: rows (row, x, class, n, kind): row 0 the documents (x: id), row 1 the classes that may link (x: number of shared shingles), row 2 the rare signatures (x) of the smallest class of each kind in the chunk, rows 3 and 4 the same for frequent shingles and kinds by them, row 3 without those that link with the smallest class of their kind in row 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 1):
@@ -254,7 +255,14 @@ def _sign(bits: int):
             for a in range(0, len(single), 100_000):
                 o = who[single[a : a + 100_000]]
                 yield _rows(2, mix(token[single[a : a + 100_000]]).view(np.int64), classes[o], sizes[o], kind[o])
-            reach = np.flatnonzero((wanted > rares) & top)
+            reach = wanted > rares
+            # of a kind, all but those that link with its smallest class by their sizes, for these have its links
+            own_top = np.zeros(len(ids), np.int64)
+            tops = np.flatnonzero(top)
+            at = np.argsort(kind[tops])
+            own_top[able] = tops[at][np.searchsorted(kind[tops], kind[able], sorter=at)]
+            alone = PERCENT * (sizes + sizes[own_top]) > (100 + PERCENT) * shared
+            reach = np.flatnonzero(reach & (np.diff(starts) > 0) & (top | alone))
             if not len(reach):
                 continue
             kind, top = smallest(reach, starts[:-1] + rares)
