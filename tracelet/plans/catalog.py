@@ -74,6 +74,11 @@ SEEDED = """seeded as (
 )"""
 
 
+def _labelled(p):
+    """Of each label and frame the point with the least id."""
+    return p.withColumn("least", F.min("id").over(Window.partitionBy("frame", "label"))).filter("id = least").drop("least")
+
+
 def _seeds(p):
     return p.filter("id < 12").withColumnRenamed("id", "seed_id")
 
@@ -471,7 +476,7 @@ def contract(spark, d):
 
 @query("shortest_paths")
 def shortest_paths(spark, d):
-    return rounded(graph.shortest_paths(_edges(spark, d), c.points(spark, d).filter("id < 10").select(F.col("id").alias("node"))), "distance")
+    return rounded(graph.shortest_paths(_edges(spark, d), _labelled(c.points(spark, d)).select(F.col("id").alias("node"))), "distance")
 
 
 @query("assign")
@@ -623,12 +628,12 @@ def correlation(spark, d):
 # mixtures
 
 
-def _mixture(spark, d):
+def _mixture(spark, d, chosen=lambda p: p.filter("id < 60")):
     p = c.points(spark, d)
     voxels = p.select("frame", F.col("id").alias("sv_id"), "x", "y", "z", (F.col("v") + 0.01).alias("v"))
-    seeds = p.filter("id < 60").select("frame", F.col("id").alias("k"), F.lit(1.0).alias("alpha0"), F.lit(1.0).alias("beta0"), F.lit(4.0).alias("nu0"), F.array("x", "y", "z").alias("m0"), F.array(*[F.lit(v) for v in (10.0, 0.0, 0.0, 10.0, 0.0, 10.0)]).alias("w0"))
+    seeds = chosen(p).select("frame", F.col("id").alias("k"), F.lit(1.0).alias("alpha0"), F.lit(1.0).alias("beta0"), F.lit(4.0).alias("nu0"), F.array("x", "y", "z").alias("m0"), F.array(*[F.lit(v) for v in (10.0, 0.0, 0.0, 10.0, 0.0, 10.0)]).alias("w0"))
     gmm = seeds.select("frame", "k", F.col("alpha0").alias("alpha"), F.col("beta0").alias("beta"), F.col("nu0").alias("nu"), F.col("m0").alias("m"), F.col("w0").alias("w"), "alpha0", "beta0", "nu0", "m0", "w0")
-    near = spatial.knn_join(p, p.filter("id < 60"), 3, 1.2)
+    near = spatial.knn_join(p, chosen(p), 3, 1.2)
     cand = near.join(p.select(F.col("id").alias("a_id"), "frame"), "a_id").select("frame", F.col("a_id").alias("sv_id"), F.col("b_id").alias("k"))
     return voxels, gmm, cand
 
@@ -656,7 +661,7 @@ def log_likelihood(spark, d):
 
 @query("mixture_fit")
 def mixture_fit(spark, d):
-    voxels, gmm, _ = _mixture(spark, d)
+    voxels, gmm, _ = _mixture(spark, d, _labelled)
     f = mixture.fit(voxels, gmm.drop("alpha", "beta", "nu", "m", "w"), nearest=3, iterations=20)
     return mixture.strongest(f.select("frame", "sv_id", "k", "r"), 0.3)
 
