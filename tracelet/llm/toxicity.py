@@ -9,8 +9,7 @@ function, calibrated on labelled documents that the dictionaries haven't seen,
 of the hits and of their share.
 
 Labelled documents: for each label, about TRAIN_ROWS documents with the least
-hashes of their ids, and of each a window of TRAIN_CHARS code points at a place
-that its id picks. Every window of every text is scored.
+hashes of their ids, each read whole. Every window of every text is scored.
 
 Defined cases: a null text is the empty text, which has no window and gets the
 score of a document without hits; a document labelled more than once counts as
@@ -18,7 +17,7 @@ toxic if any label says so; null labels are not learnt from; without labels of
 both kinds every score is 0; repeated rows each get a row; an empty table gives
 no rows; other columns are ignored, or pass through in reject_toxic.
 
-How it scales: the sample is bounded by parameters, the model is two small
+How it scales: the sample is bounded in rows by a parameter, the model is two small
 dictionaries, and scoring is one narrow pass.
 """
 
@@ -36,7 +35,6 @@ from pyspark.sql import functions as F
 from tracelet.llm.common import frugal, held_out
 
 TRAIN_ROWS = 2000
-TRAIN_CHARS = 4000
 WIDTH, STEP = 48, 36
 DICT_BYTES = 8192
 COMMON_BYTES = 2048
@@ -174,7 +172,7 @@ def fit(sample: list[tuple[int, str]], share_toxic: float) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model | None:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(~held_out("id") & F.col("id").isNotNull() & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -183,8 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
     wanted = known.filter(hashed < F.when(F.col("y") == 1, min(1.0, rows / counts[1])).otherwise(min(1.0, rows / counts[0])))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    place = F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    sample = texts.join(F.broadcast(wanted), "id").select("id", "y", F.substring("text", place.cast("int"), F.lit(chars)).alias("text"))  # wanted has about 2 * rows rows
+    sample = texts.join(F.broadcast(wanted), "id").select("id", "y", "text")  # wanted has about 2 * rows rows
     found = sorted(((r["id"], r["y"], r["text"]) for r in sample.collect()), key=str)
     return fit([(y, t) for _, y, t in found], counts[1] / (counts[0] + counts[1]))
 
