@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelet.functions.salts import explode_salts, salt_bits, salt_of
 from tracelet.plans.durable import durable
 
 
@@ -12,28 +15,33 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, component): component is the least node that edges reach. nodes (node) adds the isolated ones.
+def roots(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """(node, root) of every node of edges (u long, v long) that has another one: root is the least node that edges reach.
 
     Alternating stars: neighbours larger than a node, then smaller ones, are tied to the least neighbour; the rows never
-    outnumber the edges by more than a constant, and the rounds grow with the logarithm of the longest path.
+    outnumber the edges by more than a constant, and the rounds grow with the logarithm of the longest path. The neighbours
+    of a hub are spread over salts by bit maps, so its row is copied at most as often as it has neighbours. A round is the
+    last when it changes nothing, as the number of rows and 128 bits of their hashes tell. keep: cuts the lineage.
     """
-    now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    now, before = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()), None
     while True:
-        around = symmetric(now)
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        settled = new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty()
-        now = new
-        if settled:
-            break
-    named = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+        around = symmetric(now).withColumn("salt", salt_of("v"))
+        least = around.groupBy("u").agg(F.min("v").alias("m"), salt_bits("salt").alias("bits")).select("u", F.least("u", "m").alias("m"), explode_salts("bits").alias("salt"))
+        large = around.join(least, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().withColumn("salt", salt_of("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), salt_bits("salt").alias("bits"))
+        small = large.join(low.select("u", "m", explode_salts("bits").alias("salt")), ["u", "salt"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = keep(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        state = now.agg(F.count("*"), *[F.bit_xor(F.xxhash64("u", "v", F.lit(k))) for k in (0, 1)]).first()
+        if state == before:
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        before = state
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): component is the least node that edges reach. nodes (node) adds the isolated ones."""
     every = symmetric(edges).select(F.col("u").alias("node"))
     every = (every if nodes is None else every.union(nodes.select("node"))).distinct()
-    return every.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return every.join(roots(edges), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
