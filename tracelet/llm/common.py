@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelet.functions.salts import explode_salts, salt_bits, salt_of  # noqa: F401
+from tracelet.operators import graph
+from tracelet.plans.durable import shared_folder
+
 FOLDS = 5
-SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,20 +28,6 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def salt_of(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-
-
-def salt_bits(c: Column) -> Column:
-    """Aggregate: which salts occur in a group, as the bits of one long."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), c))
-
-
-def explode_salts(bits: Column) -> Column:
-    """One row for each salt that occurs: a lookup row is copied at most as often as it has partners, and at most 64 times."""
-    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("getbit", bits, s) == 1))
-
-
 def frugal(run: Callable) -> Callable:
     """run, a function over a task's batches, such that its worker gives freed memory back when the task ends; workers are kept from stage to stage."""
 
@@ -69,16 +57,6 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(frugal(run), schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelet-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that no later loss of an executor reaches behind it. The files go when the session ends."""
     spark = df.sparkSession
@@ -90,24 +68,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of edges (a long, b long): root is the least node that links reach.
-
-    Alternating stars: each node's larger neighbours, then its smaller ones, are tied to the least neighbour. Rows never
-    outnumber the links by more than a constant, and the rounds are about the logarithm of the longest path.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    for _ in range(most_rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select("b", "m").union(low.select(F.col("a").alias("b"), "m"))
-        new = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        same = now.exceptAll(new).isEmpty() and new.exceptAll(now).isEmpty()
-        now = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a long, b long): root is the least node that links reach."""
+    return graph.roots(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), cut)

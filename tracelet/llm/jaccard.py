@@ -33,9 +33,10 @@ bits of the hash; every intersection is of the full hashes.)
 Links. Classes of one signature aren't paired all with all at once: each is
 tried against one pivot of the list, links are closed to components, and lists
 that lie within one component are done, as are lists with the same members as
-another; after a few rounds with other pivots the pairs still between
-components are all tried, and those of kinds with a class that hasn't linked by
-its size. Every pair that could link is either tried or known to be connected.
+another; when other pivots bring no more, the pairs still between components
+are all tried, once each, and those of kinds with a class that hasn't linked by
+its size, where sizes let it link. Every pair that could link is either tried
+or known to be connected.
 
 Defined cases: a null text is the empty text; null ids are allowed and stand
 for no component's least id unless all its ids are null; rows of equal ids each
@@ -71,6 +72,8 @@ SHINGLES_A_RANGE = 1_000_000
 BYTES_A_SHINGLE = 7
 BLOOM_BITS = 1 << 27
 STAR_ROUNDS = 3
+WORK = 4  # pivots are tried as long as more pairs a list's member than this are to be looked at
+FIRST = 32
 NO_ID = -(1 << 63)
 
 
@@ -330,36 +333,67 @@ def _verify(pairs: DataFrame, class_sets: DataFrame) -> DataFrame:
     return met.filter(_fits("na + nb", "common"))
 
 
-def _pairs(lists: DataFrame, turn: int | None) -> DataFrame:
-    """From (x, class, n, own, most, comp, left) pairs (a, b) of classes in different components: with each list's pivot of this turn, or all (None), then with those of kinds that have classes left.
+def _pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """From (t, x, class, n, own, most, comp, rest) pairs (a, b) of classes in different components, one of which is the pivot of this turn of a list (t, x).
 
     The pivot is the class with the least share of shingles of its own, which is nearest to the others; in the last turn any.
     Pairs whose sizes can't fit with the shingles that either could have in common are left out.
     """
-    if turn is None:
-        other = lists.select("x", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("comp").alias("comp2"), F.col("left").alias("left2"))
-        met = lists.join(other, "x").filter("class < class2 and (comp <> comp2 or left or left2)").filter(_fits("n + n2", "least(most, most2)"))
-        return met.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
     centre = F.lit(0) if turn == STAR_ROUNDS - 1 else F.col("own") / F.col("n")
     order = F.struct(centre.alias("far"), F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("comp").alias("comp2"))
-    pivots = lists.groupBy("x").agg(F.min(order).alias("p")).select("x", "p.class2", "p.n2", "p.most2", "p.comp2")
-    met = lists.join(pivots, "x").filter("comp <> comp2").filter(_fits("n + n2", "least(most, most2)")).groupBy("class", "class2").agg(F.count("*").alias("k"))
+    pivots = lists.groupBy("t", "x").agg(F.min(order).alias("p")).select("t", "x", "p.class2", "p.n2", "p.most2", "p.comp2")
+    met = lists.join(pivots, ["t", "x"]).filter("comp <> comp2").filter(_fits("n + n2", "least(most, most2)")).groupBy("class", "class2").agg(F.count("*").alias("k"))
     if turn == 0:  # the partner of most lists
         met = met.groupBy("class").agg(F.max_by("class2", F.struct("k", "class2")).alias("class2"))
     return met.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
 
 
+def _main(lists: DataFrame) -> DataFrame:
+    """(t, x, main, held, k) of each list: its largest component, how many members that has, and how many the list has."""
+    by_comp = lists.groupBy("t", "x", "comp").agg(F.count("*").alias("k"))
+    return by_comp.groupBy("t", "x").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("k")).select("t", "x", F.col("m.comp").alias("main"), F.col("m.k").alias("held"), "k")
+
+
+def _all_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs (a, b) of classes that share a list, are in different components and could link by their sizes, and those that the larger classes of a kind could link through.
+
+    Members of a list's largest component needn't be held against each other, so a list is joined with those of its members
+    that are outside. A pair is made in the first list that both are in, as their FIRST first lists tell; a pair that has
+    none of these in common is made in each.
+    """
+    firsts = lists.groupBy("t", "class").agg(F.slice(F.array_sort(F.collect_set("x")), 1, FIRST).alias("firsts"))
+    lists = cut(lists.join(firsts, ["t", "class"]).join(_main(lists).select("t", "x", "main"), ["t", "x"]).withColumn("outside", F.expr("comp <> main or rest is not null")))
+    names = ("class", "n", "most", "comp", "rest", "firsts", "outside")
+    other = lists.select("t", "x", *[F.col(c).alias(c + "2") for c in names])
+    common = "least(most, most2)"
+    through = [f"coalesce({_fits(s, common)}, false)" for s in ("rest + n2", "rest2 + n")]
+    wanted = [
+        "class <> class2 and (class < class2 or not outside2)",
+        f"(comp <> comp2 or {' or '.join(through)})",
+        _fits("n + n2", common),
+        "x = coalesce(array_min(array_intersect(firsts, firsts2)), x)",
+    ]
+    met = lists.filter("outside").join(other, ["t", "x"]).filter(" and ".join(wanted))
+    return met.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
+
+
 def _open_lists(lists: DataFrame) -> DataFrame:
     """The lists that reach over several components, or hold several classes one of which has classes of its kind left; of lists with the same members (and what those could have in common), one.
 
     A class leaves a list where even the smallest member is too large for what the two could have in common (most).
     """
-    least = lists.groupBy("x").agg(F.min("n").alias("n0"))
-    lists = lists.join(least, "x").filter(_fits("n + n0", "most")).drop("n0")
-    marks = [F.bit_xor(F.xxhash64("class", "most", "left", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
-    wide = lists.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("left").alias("l"), F.count("*").alias("k"), *marks).filter("lo < hi or (l and k > 1)")
-    one = wide.groupBy("m0", "m1", "k").agg(F.min("x").alias("x")).select("x")
-    return cut(lists.join(one, "x", "left_semi"))
+    least = lists.groupBy("t", "x").agg(F.min("n").alias("n0"))
+    lists = lists.join(least, ["t", "x"]).filter(_fits("n + n0", "most")).drop("n0")
+    marks = [F.bit_xor(F.xxhash64("class", "most", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    wide = lists.groupBy("t", "x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rest").alias("l"), F.count("*").alias("k"), *marks).filter("lo < hi or (l is not null and k > 1)")
+    one = wide.groupBy("t", "m0", "m1", "k").agg(F.min("x").alias("x")).select("t", "x")
+    return cut(lists.join(one, ["t", "x"], "left_semi"))
+
+
+def _work(lists: DataFrame) -> tuple[int, int]:
+    """Members of all lists, and pairs that _all_pairs would look at."""
+    total, pairs = _main(lists).agg(F.sum("k"), F.sum(F.expr("(k - held) * k"))).first()
+    return total or 0, pairs or 0
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,27 +416,28 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = sure if links is None else links.union(sure)
         rests.append(others.filter("not linked").select("top", "class", "n"))
         tops.append(smallest.select("kind", F.col("top").alias("class"), "own", "most"))
-    left = rests[0].select("top").union(rests[1].select("top")).select(F.col("top").alias("class")).distinct().withColumn("left", F.lit(True))
-    for smallest, signatures in zip(tops, (2, 4)):
+    left = rests[0].union(rests[1]).groupBy(F.col("top").alias("class")).agg(F.min("n").alias("rest"))
+    for t, smallest, signatures in zip((0, 1), tops, (2, 4)):
         entered = signed.filter(F.col("row") == signatures).select("x", "class", "n", "kind").distinct().join(smallest, ["kind", "class"])
-        entered = entered.join(left, "class", "left").select("x", "class", "n", "own", "most", F.col("class").alias("comp"), F.coalesce("left", F.lit(False)).alias("left"))
+        entered = entered.join(left, "class", "left").select(F.lit(t).alias("t"), "x", "class", "n", "own", "most", F.col("class").alias("comp"), "rest")
         lists = entered if lists is None else lists.union(entered)
     lists = _open_lists(lists)
-    class_sets, tried, met = None, None, None
-    for turn in [*range(STAR_ROUNDS), None]:
-        if lists.isEmpty():
+    total, work = _work(lists)
+    class_sets, met, turn = None, None, 0
+    if total:
+        class_sets = _class_sets(docs, id_col, text_col, cut(lists.select("class").union(rests[1].select("class")).distinct().join(first, "class")))
+    while total and turn < STAR_ROUNDS and work > WORK * total:
+        new = cut(_verify(_pivot_pairs(lists, turn), class_sets))
+        met = new if met is None else met.union(new)
+        roots = connected(met.select("a", "b")).withColumnRenamed("node", "class")
+        lists = _open_lists(lists.drop("comp").join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root"))
+        before, turn = work, turn + 1
+        total, work = _work(lists)
+        if 2 * work > before:  # what is left doesn't meet in pivots
             break
-        if class_sets is None:
-            class_sets = _class_sets(docs, id_col, text_col, cut(lists.select("class").union(rests[1].select("class")).distinct().join(first, "class")))
-        pairs = _pairs(lists, turn)
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        new = cut(_verify(pairs, class_sets))
+    if total:
+        new = cut(_verify(_all_pairs(lists), class_sets))
         met = new if met is None else met.union(new)
-        if turn is not None and not new.isEmpty():
-            roots = cut(connected(met.select("a", "b")))
-            plain = lists.drop("comp").join(roots.withColumnRenamed("node", "class"), "class", "left")
-            lists = _open_lists(plain.select("x", "class", "n", "own", "most", F.coalesce("root", "class").alias("comp"), "left"))
     if met is not None:
         both = met.select("a", F.col("b").alias("top"), "na", "common").union(met.select(F.col("b").alias("a"), F.col("a").alias("top"), F.col("nb").alias("na"), "common"))
         room = F.expr(f"{100 + PERCENT} * common - {PERCENT} * na")
