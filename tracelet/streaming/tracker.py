@@ -1,25 +1,21 @@
 """Streams of frames with delayed emission.
 
-A frame's nodes come out once the `radius` later frames are known, with what a
-window of 2 * radius + 1 frames says about them; then they are forgotten. Late
-rows: those of frames already emitted are dropped and counted.
+A frame's nodes come out once the watermark has passed the `radius` later
+frames, with what a window of 2 * radius + 1 frames says about them; then they
+are forgotten. Frames are event time, a second each, so a replay of the same
+rows gives the same rows whatever the clock says, and the last frames come out
+when a later frame of any track is seen. What comes later than that is dropped
+from the windows already emitted, and counted (late_rows).
+
+State is kept by Spark's own window aggregate: sums and the scores of a frame,
+for each open window of a track.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-OUT = "track long, frame long, score double, smooth double, n_window long"
-STATE = "frames array<long>, scores array<double>, emitted long"
-
-
-def _window(frames: list[int], scores: list[float], at: int, radius: int) -> tuple[float, int]:
-    near = [s for f, s in zip(frames, scores) if abs(f - at) <= radius]
-    return sum(near) / len(near), len(near)
+from pyspark.sql.streaming import StreamingQuery
 
 
 def smooth_batch(nodes: DataFrame, radius: int) -> DataFrame:
@@ -28,40 +24,18 @@ def smooth_batch(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.select("track", "frame", "score", F.avg("score").over(near).alias("smooth"), F.count("*").over(near).alias("n_window"))
 
 
-def smooth_stream(nodes: DataFrame, radius: int, idle: str = "1 minute") -> DataFrame:
-    """nodes: a stream (track long, frame long, score double). A track without news for `idle` of processing time gives up what it holds.
-
-    State of a track: the frames of the last 2 * radius + 1 that count, and the last one emitted.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    wait = int(float(idle.split()[0]) * {"second": 1, "minute": 60, "hour": 3600}[idle.split()[1].rstrip("s")] * 1000)
+def smooth_stream(nodes: DataFrame, radius: int, late: int = 0) -> DataFrame:
+    """nodes: a stream (track long, frame long, score double) whose frames come at most `late` frames after later ones."""
+    rows = nodes.select("track", "frame", "score", F.timestamp_seconds("frame").alias("ts")).withWatermark("ts", f"{late} seconds")
+    rows = rows.select("track", "frame", "score", F.window("ts", f"{2 * radius + 1} seconds", "1 second").alias("w"))
+    own = F.collect_list(F.when(F.col("frame") == F.unix_seconds("w.start") + radius, F.struct("frame", "score")))
+    seen = rows.groupBy("track", "w").agg(own.alias("own"), F.avg("score").alias("smooth"), F.count("*").alias("n_window"))
+    return seen.select("track", F.explode("own").alias("node"), "smooth", "n_window").select("track", "node.frame", "node.score", "smooth", "n_window")
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        frames, scores, emitted = ([*x] if i < 2 else x for i, x in enumerate(state.get)) if state.exists else ([], [], -1)
-        if state.hasTimedOut:
-            limit = 1 << 62
-        else:
-            for pdf in batches:
-                fresh = pdf[pdf.frame > emitted]
-                frames += fresh.frame.tolist()
-                scores += fresh.score.tolist()
-            limit = max(frames, default=-1) - radius
-        order = sorted(range(len(frames)), key=lambda i: frames[i])
-        frames, scores = [frames[i] for i in order], [scores[i] for i in order]
-        ready = [(f, s) for f, s in zip(frames, scores) if emitted < f <= limit]
-        rows = [(key[0], f, s, *_window(frames, scores, f, radius)) for f, s in ready]
-        emitted = max([emitted, *(f for f, _ in ready)])
-        keep = [i for i, f in enumerate(frames) if f > emitted - radius]
-        if state.hasTimedOut and not keep:
-            state.remove()
-        else:
-            state.update(([frames[i] for i in keep], [scores[i] for i in keep], emitted))
-            if any(f > emitted for f in frames):
-                state.setTimeoutDuration(wait)
-        yield pd.DataFrame(rows, columns=["track", "frame", "score", "smooth", "n_window"])
 
-    return nodes.groupBy("track").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def late_rows(query: StreamingQuery) -> int:
+    """How often a row, summed up with others of its task and window, came too late for a window; over the progress that the query still holds."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def divisions_by_window(events: DataFrame, every: str, late: str) -> DataFrame:
