@@ -1,29 +1,34 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on the stretches of text that toxic
-documents have significantly more often, one on those of ordinary documents;
-both end in the same text of common words, so that other text is coded alike. A document is read in short overlapping
-windows; a window that the toxic dictionary makes shorter than the ordinary one
-does, by a calibrated number of bytes, is a hit. The score is a logistic
-function, calibrated on labelled documents that the dictionaries haven't seen,
-of the hits and of their share.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
+A first dictionary of BASE_BYTES is trained on windows of ordinary documents;
+most text of either kind is in it. What it lacks of ordinary documents, and
+what it lacks of toxic ones, trains two further dictionaries of CLASS_BYTES,
+and each follows the first: so both sides hold the same common text at the same
+distance, and differ by their own. Nothing chooses text by its label before
+training. A document is read in short overlapping windows; a window's gain is
+the number of bytes that the toxic dictionary saves over the ordinary one. The
+score is a logistic function, calibrated on labelled documents that the
+dictionaries haven't seen, of how many windows, and how large a share of them,
+reach each of the thresholds GAINS.
 
 Labelled documents: for each label, about TRAIN_ROWS documents with the least
 hashes of their ids, each read whole. Every window of every text is scored.
 
 Defined cases: a null text is the empty text, which has no window and gets the
-score of a document without hits; a document labelled more than once counts as
+score of a document without gains; a document labelled more than once counts as
 toxic if any label says so; null labels are not learnt from; without labels of
-both kinds every score is 0; repeated rows each get a row; an empty table gives
+both kinds every score is 0; text that zstandard can't train on, as next to
+none, is its own dictionary; repeated rows each get a row; an empty table gives
 no rows; other columns are ignored, or pass through in reject_toxic.
 
-How it scales: the sample is bounded in rows by a parameter, the model is two small
-dictionaries, and scoring is one narrow pass.
+How it scales: the sample is bounded in rows by a parameter and learnt from in
+one task, the model is two dictionaries of 66 KB, and scoring is one narrow pass.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +39,14 @@ from pyspark.sql import functions as F
 
 from tracelet.llm.common import frugal, held_out
 
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 4000
 WIDTH, STEP = 48, 36
-DICT_BYTES = 8192
-COMMON_BYTES = 2048
-GRAM = 4
-SIGNIFICANT = 2.5
-GRAMS_MOST = 200
-RATIO = 8.0
-SEGMENTS_MOST = 400
-GAINS = (2, 3, 4, 5, 6)
-SURER = 2
+BASE_BYTES, CLASS_BYTES = 65536, 2048
+SEGMENT, PART = 20, 6  # zstandard's k and d
+BASE_FED, CLASS_FED = 64, 256  # it fills a dictionary from so many times its size, so less text is given to it several times
+GRAM, MARGIN = 5, 4
+GAINS = (2, 3, 4, 5, 6, 8)
+RIDGE = 0.5
 LEVEL = 9
 MIN_MATCH = 4
 
@@ -55,8 +57,8 @@ def windows(text: str) -> list[bytes]:
 
 
 class Model:
-    def __init__(self, toxic: bytes, ordinary: bytes, gain: int = GAINS[0], weights: tuple[float, ...] = (0.0,)):
-        self.toxic, self.ordinary, self.gain, self.weights = toxic, ordinary, gain, weights
+    def __init__(self, ordinary: bytes, toxic: bytes, weights: tuple[float, ...] = (0.0,) * (1 + 2 * len(GAINS))):
+        self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
         self._pair = None
 
     def __getstate__(self):
@@ -66,19 +68,22 @@ class Model:
         """By window: bytes that the toxic dictionary saves over the ordinary one."""
         if self._pair is None:
             params = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=False, write_dict_id=False)
-            self._pair = [zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=params).compress for d in (self.ordinary, self.toxic)]
+            self._pair = []
+            for data in (self.ordinary, self.toxic):
+                held = zstd.ZstdCompressionDict(data)
+                held.precompute_compress(compression_params=params)
+                self._pair.append(zstd.ZstdCompressor(dict_data=held, compression_params=params).compress)
         ordinary, toxic = self._pair
         return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], np.int64)
 
     @staticmethod
-    def features(gains: np.ndarray, gain: int) -> tuple[float, ...]:
-        """Of the windows at and well above the threshold: how many, and how large a share."""
-        n, hits, sure = max(1, len(gains)), int((gains >= gain).sum()), int((gains >= gain + SURER).sum())
-        return np.log1p(hits), np.log1p(100.0 * hits / n), np.log1p(sure), np.log1p(100.0 * sure / n)
+    def features(gains: np.ndarray) -> np.ndarray:
+        """Of the windows at and above each threshold: how many, and how large a share."""
+        hits = (gains[:, None] >= np.array(GAINS)).sum(axis=0)
+        return np.concatenate([np.log1p(hits), np.log1p(100.0 * hits / max(1, len(gains)))])
 
     def score(self, text: str) -> float:
-        bias, *slopes = self.weights
-        z = bias + sum(a * b for a, b in zip(slopes, self.features(self.gains(text), self.gain)))
+        z = self.weights[0] + float(np.dot(self.weights[1:], self.features(self.gains(text))))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -91,88 +96,64 @@ def _codes(data: bytes) -> np.ndarray:
     return out
 
 
-def _segments(texts: list[list[bytes]]) -> list[Counter]:
-    """Of each class: stretches of text whose every gram is found in significantly more of its documents, with their numbers of documents."""
-    counted = [np.unique(np.concatenate([np.unique(_codes(t)) for t in group] or [np.zeros(0, np.uint64)]), return_counts=True) for group in texts]
-    n = [len(group) for group in texts]
-    out = []
-    for y in (0, 1):
-        grams, docs = counted[y]
-        other, theirs = counted[1 - y]
-        at = np.searchsorted(other, grams)
-        hit = at < len(other)
-        hit[hit] = other[at[hit]] == grams[hit]
-        expected = np.zeros(len(grams))
-        expected[hit] = theirs[at[hit]] * (n[y] / n[1 - y])
-        sure = np.where(docs >= RATIO * expected, (docs - expected) / np.sqrt(docs + expected + 1), 0)
-        top = np.lexsort([grams, -sure])[:GRAMS_MOST]
-        own = np.sort(grams[top[sure[top] >= SIGNIFICANT]])
-        found: Counter = Counter()
-        for t in texts[y]:
-            codes = _codes(t)
-            at = np.minimum(np.searchsorted(own, codes), max(0, len(own) - 1))
-            inside = own[at] == codes if len(own) else np.zeros(len(codes), bool)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-            found.update({t[a : b + GRAM - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())})
-        out.append(Counter(dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:SEGMENTS_MOST])))
-    return out
-
-
-def _dictionary(segments: Counter, size: int) -> bytes:
-    """Trained on the segments, each as often as documents have it; the most frequent also close it, where zstandard finds them at least distance."""
-    samples = [s for s, n in segments.items() for _ in range(min(n, 50))]
-    total, trained = sum(map(len, samples)), b""
-    if total > 2048 and len(samples) > 50:
-        try:
-            trained = zstd.train_dictionary(min(size // 2, total // 4), samples, k=16, d=6, steps=1).as_bytes()
-        except zstd.ZstdError:  # too little to train on
-            trained = b""
-    return trained + b"".join(s for s, _ in sorted(segments.items(), key=lambda x: (x[1], x[0])))[-size // 2 :]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Newton's steps with a small ridge; weights and the loss."""
+def residue(text: str, known: np.ndarray) -> list[bytes]:
+    """The stretches of a text that no known GRAM bytes reach, with a margin."""
+    data = f" {text.lower()} ".encode()
+    codes = _codes(data)
+    reach = np.zeros(len(data) + 1, np.int64)
+    if len(known):
+        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes)
+        reach[at] += 1
+        reach[at + GRAM] -= 1
+    bare = np.cumsum(reach[:-1]) == 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], bare.astype(np.int8), [0]])))
+    return [data[max(0, a - MARGIN) : b + MARGIN] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+
+
+def dictionary(samples: list[bytes], size: int, fed: int) -> bytes:
+    """Trained by zstandard."""
+    total = sum(map(len, samples))
+    if not total:
+        return b""
+    try:
+        return zstd.train_dictionary(size, samples * -(-fed * size // total), k=SEGMENT, d=PART).as_bytes()
+    except zstd.ZstdError:  # it finds nothing that recurs
+        return b"".join(samples)[-size:]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Newton's steps with a ridge."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
-    ridge = np.diag([0.0] + [1e-2] * x.shape[1]) + 1e-6 * np.eye(a.shape[1])
-    for _ in range(30):
+    ridge = np.diag([1e-6] + [RIDGE] * x.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         h = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + ridge
         w = w + np.clip(np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge @ w), -2, 2)
-    p = np.clip(1 / (1 + np.exp(-np.clip(a @ w, -30, 30))), 1e-9, 1 - 1e-9)
-    return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+    return w
 
 
 def fit(sample: list[tuple[int, str]], share_toxic: float) -> Model | None:
     """sample: (label, text). Dictionaries from two thirds, thresholds from the rest."""
     if len({y for y, _ in sample}) < 2:
         return None
-    learn = [s for i, s in enumerate(sample) if i % 3] or sample
+    learn = [s for i, s in enumerate(sample) if i % 3]
     rest = sample[::3]
     if min(len({y for y, _ in part}) for part in (learn, rest)) < 2:
         learn = rest = sample
-    texts = [[f" {t.lower()} ".encode() for y, t in learn if y == label] for label in (0, 1)]
-    words = [Counter(w for t in group for w in set(t.split())) for group in texts]
-    both = Counter({w: min(words[0][w] / len(texts[0]), words[1][w] / len(texts[1])) for w in words[0].keys() & words[1].keys()})
-    common = b" ".join(sorted(w for w, _ in sorted(both.items(), key=lambda x: (-x[1], x[0]))[:400]))[:COMMON_BYTES]
-    segments = _segments(texts)
-    # the same length on both sides, so that distances into the common text are alike
-    ordinary, toxic = (_dictionary(segments[y], DICT_BYTES) for y in (0, 1))
-    size = max(len(ordinary), len(toxic), 8)
-    model = Model(toxic.rjust(size, b"\0") + common, ordinary.rjust(size, b"\0") + common)
+    base = dictionary([w for y, t in learn if y == 0 for w in windows(t)], BASE_BYTES, BASE_FED)
+    known = np.unique(_codes(base))
+    own = [dictionary([r for y, t in learn if y == label for r in residue(t, known)], CLASS_BYTES, CLASS_FED) for label in (0, 1)]
+    size = max(map(len, own))
+    model = Model(*(base + d.rjust(size, b"\0") for d in own))
     labels = np.array([y for y, _ in rest], float)
     weight = np.where(labels == 1, share_toxic / max(labels.mean(), 1e-9), (1 - share_toxic) / max(1 - labels.mean(), 1e-9))
-    gains = [model.gains(t) for _, t in rest]
-    best = None
-    for gain in GAINS:
-        w, loss = _logistic(np.array([Model.features(g, gain) for g in gains]), labels, weight)
-        if best is None or loss < best[0]:
-            best = loss, gain, w
-    model.gain, model.weights = best[1], tuple(float(x) for x in best[2])
+    model.weights = tuple(_logistic(np.array([Model.features(model.gains(t)) for _, t in rest]), labels, weight).tolist())
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model | None:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[DataFrame, float] | None:
+    """(id, y, text) of about `rows` documents of each label, and the share of toxic labels; nothing without labels of both kinds."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(~held_out("id") & F.col("id").isNotNull() & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -182,8 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = known.filter(hashed < F.when(F.col("y") == 1, min(1.0, rows / counts[1])).otherwise(min(1.0, rows / counts[0])))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     sample = texts.join(F.broadcast(wanted), "id").select("id", "y", "text")  # wanted has about 2 * rows rows
-    found = sorted(((r["id"], r["y"], r["text"]) for r in sample.collect()), key=str)
-    return fit([(y, t) for _, y, t in found], counts[1] / (counts[0] + counts[1]))
+    return sample, counts[1] / (counts[0] + counts[1])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model | None:
+    if (chosen := training_rows(docs, labels, id_col, text_col, label_col, rows)) is None:
+        return None
+    sample, share = chosen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((str(i), y, t) for b in batches for i, y, t in zip(*[c.to_pylist() for c in b.columns]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(y, t) for _, y, t in found], share))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(frugal(run), "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
