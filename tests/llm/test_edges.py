@@ -307,14 +307,82 @@ def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", page), (2, None, None), (None, "http://b/", "<p"), (3, "u", "<p>" + "y " * 100_000), (1, "http://a/", page)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("content", F.lit(1)).withColumn("record_id", F.lit(2))
     out = warc.derivatives(p, with_member=True).collect()
-    assert len(out) == 2 * len(rows)
+    assert len(out) == 3 * len(rows) and warc.derivatives(p, with_response=False).count() == 2 * len(rows)
+    ids = {r["record_id"] for r in out if r["record_type"] == "response"}
+    assert all(r["refers_to"] in ids for r in out if r["record_type"] != "response")
     text = {r["page_id"]: r for r in out if r["record_type"] == "conversion"}
     meta = {r["page_id"]: json.loads(r["content"]) for r in out if r["record_type"] == "metadata"}
-    assert text[1]["content"] == "One\ntwo bold\nlink" and text[2]["content"] == ""
+    assert text[1]["content"] == "One\ntwo bold\nlink" and text[2]["content"] == "" and text[None]["content"] == "<p"
     assert meta[1]["html"]["title"] == "A & B" and meta[1]["html"]["links"][0]["url"] == "/q?a=1&b=2"
     assert text[1]["refers_to"] == meta[1]["source"]["WARC-Record-ID"] and text[1]["payload_digest"] == warc.digest(page.encode())
     assert text[1]["block_digest"] == warc.digest(text[1]["content"].encode())
     (tmp_path / "a.warc.gz").write_bytes(b"".join(bytes(r["member"]) for r in out))
-    back = warc.read_warc(spark, str(tmp_path / "a.warc.gz")).collect()
-    assert len(back) == len(out) and {b["fields"]["WARC-Record-ID"] for b in back} == {r["record_id"] for r in out}
-    assert warc.derivatives(p.limit(0)).count() == 0
+    back = warc.read_warc(spark, str(tmp_path / "a.warc.gz"))
+    found = back.collect()
+    assert len(found) == len(out) and not any(b["truncated"] for b in found)
+    assert {f["value"] for b in found for f in b["fields"] if f["name"] == "WARC-Record-ID"} == {r["record_id"] for r in out}
+    again = warc.derivatives_of_records(back).collect()  # from the responses read, the same as from the pages
+    columns = ["record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content"]
+    assert sorted(str([r[c] for c in columns]) for r in again) == sorted(str([r[c] for c in columns]) for r in out if r["record_type"] != "response")
+    assert warc.derivatives(p.limit(0)).count() == 0 and warc.derivatives_of_records(back.limit(0)).count() == 0
+
+
+def test_warc_real_responses():
+    """Headers as they came, repeated and continued; chunks, compression and charset undone for the text, digests of what was sent."""
+    import gzip
+
+    body = gzip.compress("<title>Ü</title><p>grün".encode("latin-1"))
+    sent = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (body[:9], body[9:], b""))
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Long: one\r\n two\r\nContent-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n"
+    fields = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2020-02-02T02:02:02Z", "WARC-Target-URI": "http://a/"}
+    data = warc.record(fields, head + sent)
+    [(got, block, truncated)] = warc.read_records(data)
+    assert not truncated and block == head + sent
+    (m, meta), (c, text) = warc.derive(dict(got), block)
+    said = json.loads(meta)
+    assert said["http"]["headers"][:3] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"], ["X-Long", "one two"]]
+    assert text.decode() == "grün" and said["html"]["title"] == "Ü" and c["WARC-Refers-To"] == "<urn:uuid:1>" and m["WARC-Date"] == "2020-02-02T02:02:02Z"
+    assert c["WARC-Payload-Digest"] == warc.digest(sent)
+    for cut in (3, len(data) - 10):
+        both = [*warc.read_records(gzip.compress(data) + gzip.compress(data[:cut])), *warc.read_records(data + data[:cut])]
+        assert [t for _, _, t in both] == [False, True] * 2 and both[0][1] == block
+    assert list(warc.read_records(b"")) == []
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<title>", "<meta ", "<script>", "<!--", "</script ", '<a href="', "<a href='x\" ", "< ", "a=", "<svg>", "<head>x"])
+def test_warc_long_pages_are_read_in_linear_time(unit):
+    import time
+
+    for tail in ("", ">"):
+        page = unit * (1_000_000 // len(unit)) + tail
+        began = time.process_time()
+        warc.read_page(page)
+        assert time.process_time() - began < 3
+
+
+def test_warc_text_equals_a_plain_reading():
+    """Against a reader that goes through the page a character at a time."""
+    import random
+
+    def plain(page):
+        out, i, hidden = "", 0, None
+        while i < len(page):
+            if hidden:
+                if page.startswith(f"</{hidden}>", i):
+                    i, hidden = i + len(hidden) + 3, None
+                else:
+                    i += 1
+            elif page[i] == "<":
+                stop = page.index(">", i)
+                tag, i = page[i + 1 : stop], stop + 1
+                if tag in ("p", "/p", "script"):
+                    out += "\n"
+                hidden = "script" if tag == "script" else None
+            else:
+                out, i = out + page[i], i + 1
+        return "\n".join(x for x in (" ".join(line.split()) for line in out.split("\n")) if x)
+
+    rng = random.Random(5)
+    for _ in range(300):
+        page = "".join(rng.choice(["<p>", "</p>", "<b>", "</b>", "word ", "  ", "<script>", "</script>", "x"]) for _ in range(30)) + "</script>"
+        assert warc.read_page(page)[0] == plain(page)
