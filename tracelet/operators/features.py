@@ -32,7 +32,7 @@ def window_features(nodes: DataFrame, features: DataFrame, frames: int) -> DataF
 
     Means and variances are of the changes whose parent value isn't 0; null without any.
     """
-    reach = trees.ancestors(nodes).filter(F.col("steps") < frames)
+    reach = trees.ancestors(nodes, frames - 1)
     n = trees.children_count(nodes).select("id", "parent", "n_children")
     own = n.join(features, "id", "left")
     before = features.select(F.col("id").alias("parent"), *[F.col(s).alias(f"p_{s}") for s in SERIES])

@@ -189,14 +189,12 @@ def collapse_single_children(tree: DataFrame) -> DataFrame:
     """tree (id, parent, ...) without nodes that have one child; the child takes their place."""
     from tracelet.operators.trees import children_count, follow
 
-    n = children_count(tree)
-    skip = n.filter("n_children = 1").select("id", "parent")
-    to = follow(tree.select("id", "parent").join(skip.select(F.col("id").alias("parent"), F.col("parent").alias("above")), "parent", "left").select("id", F.when(F.col("above").isNotNull() | F.col("parent").isin([]), F.col("parent")).alias("to")))
-    tops = to.select("id", F.col("end").alias("highest"))
-    single = skip.select(F.col("id").alias("parent"), F.lit(True).alias("skipped"), F.col("parent").alias("above"))
-    rest = tree.join(skip.select("id"), "id", "left_anti").join(tops, "id")
-    up = tree.select(F.col("id").alias("highest"), F.col("parent").alias("hp"))
-    return rest.join(up, "highest").join(single.withColumnRenamed("parent", "hp"), "hp", "left").withColumn("parent", F.when(F.col("skipped"), F.col("above")).otherwise(F.col("hp"))).select(tree.columns)
+    single = children_count(tree).filter("n_children = 1").select(F.col("id").alias("pid"))
+    # a chain of single parents is gone through to its upper end, whose own parent takes the place
+    to = follow(tree.join(single, F.col("parent") == F.col("pid"), "left").select("id", F.col("pid").alias("to")))
+    up = tree.select(F.col("id").alias("end"), F.col("parent").alias("above"))
+    rest = tree.join(single, F.col("id") == F.col("pid"), "left_anti").join(to.select("id", "end"), "id").join(up, "end")
+    return rest.withColumn("parent", F.col("above")).select(tree.columns)
 
 
 def relabel_dense(labels: DataFrame, min_size: int) -> DataFrame:

@@ -56,25 +56,57 @@ def ancestor_at(nodes: DataFrame, frame: int) -> DataFrame:
     return follow(nodes.select("id", F.when(F.col("frame") > frame, F.col("parent")).alias("to"))).select("id", F.col("end").alias("ancestor"))
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor, steps), itself with 0: the closure, whose size is the sum of the depths. By doubling."""
-    own = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
-    jump = nodes.filter("parent is not null").select(F.col("id"), F.col("parent").alias("to"))
-    pairs, reach = own, 1
-    jump = durable(jump)
-    while not jump.isEmpty():
+def ancestors(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, ancestor, steps), itself with 0, up to `most` steps: a row for each node and step, so without a bound as many as the sum of the depths. By doubling."""
+    pairs = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
+    jump, reach = _jumps(nodes), 1
+    while (most is None or reach <= most) and not jump.isEmpty():
         up = jump.select(F.col("id").alias("ancestor"), F.col("to").alias("higher"))
-        pairs = durable(pairs.union(pairs.join(up, "ancestor").select("id", F.col("higher").alias("ancestor"), (F.col("steps") + reach).alias("steps"))))
-        jump = durable(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
-        reach *= 2
+        further = pairs.join(up, "ancestor").select("id", F.col("higher").alias("ancestor"), (F.col("steps") + reach).alias("steps"))
+        pairs = durable(pairs.union(further if most is None else further.filter(F.col("steps") <= most)))
+        jump, reach = _farther(jump), 2 * reach
     return pairs
 
 
+def _jumps(nodes: DataFrame) -> DataFrame:
+    return durable(nodes.filter("parent is not null").select("id", F.col("parent").alias("to")))
+
+
+def _farther(jump: DataFrame) -> DataFrame:
+    """Pointers (id, to) of twice the reach; those that would pass the root go."""
+    return durable(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+
+
+def subtree_totals(nodes: DataFrame, sums: Sequence[str] = (), tops: Sequence[str] = ()) -> DataFrame:
+    """(id, ...): columns summed, or their largest, over the nodes at and below each. nodes (id, parent, ...).
+
+    By doubling: what lies within 2k steps below a node is what lies within k steps below it and below the nodes that are k
+    steps under it. So a round has a row a node, whatever the depth.
+    """
+    names = [*sums, *tops]
+    now, jump = durable(nodes.select("id", *names)), _jumps(nodes)
+    while not jump.isEmpty():
+        more = jump.join(now, "id").groupBy(F.col("to").alias("id")).agg(*[F.sum(c).alias(f"more_{c}") for c in sums], *[F.max(c).alias(f"more_{c}") for c in tops])
+        both = [(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in sums] + [F.greatest(c, f"more_{c}").alias(c) for c in tops]
+        now = durable(now.join(more, "id", "left").select("id", *both))
+        jump = _farther(jump)
+    return now
+
+
+def topmost(nodes: DataFrame) -> DataFrame:
+    """(id, top): of nodes (id, parent, marked), the marked one nearest the root among a node and those above it; null without one. By doubling."""
+    now, jump = durable(nodes.select("id", F.when(F.col("marked"), F.col("id")).alias("top"))), _jumps(nodes)
+    while not jump.isEmpty():
+        above = jump.join(now.select(F.col("id").alias("to"), F.col("top").alias("higher")), "to").select("id", "higher")
+        now = durable(now.join(above, "id", "left").select("id", F.coalesce("higher", "top").alias("top")))
+        jump = _farther(jump)
+    return now
+
+
 def subtree_sizes(nodes: DataFrame) -> DataFrame:
     """(id, n_nodes, n_leaves, last_frame) of the nodes at and below each."""
-    leaf = children_count(nodes).select("id", (F.col("n_children") == 0).cast("long").alias("leaf"), "frame")
-    below = ancestors(nodes).join(leaf, "id")
-    return below.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_nodes"), F.sum("leaf").alias("n_leaves"), F.max("frame").alias("last_frame"))
+    own = children_count(nodes).select("id", "parent", F.lit(1).cast("long").alias("n_nodes"), (F.col("n_children") == 0).cast("long").alias("n_leaves"), F.col("frame").alias("last_frame"))
+    return subtree_totals(own, ("n_nodes", "n_leaves"), ("last_frame",))
 
 
 def breadth_first(nodes: DataFrame) -> DataFrame:
@@ -133,8 +165,8 @@ def short_lived(pairs: DataFrame, length: int) -> DataFrame:
 
 def delete_subtrees(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """nodes without those at or below tops (id)."""
-    doomed = ancestors(nodes).join(tops.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
-    return nodes.join(doomed, "id", "left_anti")
+    marked = nodes.select("id", "parent").join(tops.select("id", F.lit(True).alias("marked")).distinct(), "id", "left")
+    return nodes.join(topmost(marked).filter("top is not null").select("id"), "id", "left_anti")
 
 
 def delete_short_lived(nodes: DataFrame, length: int, max_frame: int) -> DataFrame:
@@ -264,7 +296,7 @@ def displacement_threshold(moves: DataFrame, least: int = 30, widths: float = 4.
 def cut_sublineages(nodes: DataFrame, tops: DataFrame, frames: int) -> DataFrame:
     """The subtrees of tops (id) for so many frames, each with its top, frames counted from it: nodes with top and frame re-based."""
     t = tops.select(F.col("id").alias("ancestor")).distinct().join(nodes.select(F.col("id").alias("ancestor"), F.col("frame").alias("first")), "ancestor")
-    got = ancestors(nodes).select("id", "ancestor").join(t, "ancestor").join(nodes, "id").filter(F.col("frame") < F.col("first") + frames)
+    got = ancestors(nodes, frames - 1).select("id", "ancestor").join(t, "ancestor").join(nodes, "id").filter(F.col("frame") < F.col("first") + frames)
     return got.withColumn("parent", F.when(F.col("id") == F.col("ancestor"), None).otherwise(F.col("parent"))).withColumn("frame", F.col("frame") - F.col("first")).withColumnRenamed("ancestor", "top").drop("first")
 
 
@@ -310,10 +342,9 @@ def integrity(nodes: DataFrame) -> DataFrame:
 
 def cut_at(nodes: DataFrame, tau: float) -> DataFrame:
     """Dendrogram (id, parent, thr) cut at tau: (leaf, node): the first node on the way from a root to each leaf with thr <= tau, or the leaf."""
+    top = topmost(nodes.select("id", "parent", (F.col("thr") <= tau).alias("marked")))
     leaves = children_count(nodes).filter("n_children = 0").select("id")
-    way = ancestors(nodes).join(leaves, "id").join(nodes.select(F.col("id").alias("ancestor"), "thr"), "ancestor")
-    top = way.filter((F.col("thr") <= tau) | (F.col("id") == F.col("ancestor"))).groupBy("id").agg(F.max_by("ancestor", "steps").alias("node"))
-    return top.select(F.col("id").alias("leaf"), "node")
+    return top.join(leaves, "id").select(F.col("id").alias("leaf"), F.coalesce("top", "id").alias("node"))
 
 
 def extend_dead(nodes: DataFrame, owners: DataFrame, overlaps: DataFrame, frame: int) -> DataFrame:
@@ -336,7 +367,7 @@ def event_neighbourhoods(nodes: DataFrame, neighbours: DataFrame, radius: int) -
     last = nodes.agg(F.max("frame")).collect()[0][0]
     n = children_count(nodes)
     events = n.filter((F.col("n_children") == 2) | ((F.col("n_children") == 0) & (F.col("frame") < last))).select(F.col("id").alias("event"))
-    way = ancestors(nodes).filter(F.col("steps") <= radius).select("id", "ancestor")
+    way = ancestors(nodes, radius).select("id", "ancestor")
     linked = durable(way.union(way.select(F.col("ancestor").alias("id"), F.col("id").alias("ancestor"))).distinct())
     got = durable(events.join(linked, F.col("event") == F.col("id")).select("event", F.col("ancestor").alias("id")).distinct())
     fresh = got

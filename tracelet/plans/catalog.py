@@ -429,7 +429,7 @@ def integrity(spark, d):
 @query("tree_cut", f"{TREE}, thr as (select a.ancestor as id, max(n.score) as thr from anc a join nodes n using (id) group by 1), leaf as (select id from kids where n_children = 0), w as (select a.id as leaf, a.ancestor, a.steps from anc a join leaf l on l.id = a.id join thr t on t.id = a.ancestor where t.thr <= 0.5 or a.id = a.ancestor) select leaf, arg_max(ancestor, steps) as node from w group by leaf")
 def tree_cut(spark, d):
     f = c.forest(spark, d)
-    thr = trees.ancestors(f).join(f.select("id", "score"), "id").groupBy(F.col("ancestor").alias("id")).agg(F.max("score").alias("thr"))
+    thr = trees.subtree_totals(f.select("id", "parent", F.col("score").alias("thr")), tops=("thr",))
     return trees.cut_at(f.select("id", "parent").join(thr, "id"), 0.5)
 
 
