@@ -162,6 +162,30 @@ def read_files(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(arrow, full)
 
 
+def write_files(rows: DataFrame, path: str, encode: Callable[[dict], bytes], name: Callable[[dict], str] | None = None) -> None:
+    """A file for each row, in a folder of any store that Spark reaches; named after the row's plain values, or by name.
+
+    Rows are encoded where they are; the bytes go through the driver to Hadoop's file system one file after another, since
+    Spark has no sink for bare bytes, so the driver holds a file at a time.
+    """
+    named = name or (lambda row: "_".join(f"{k}={v}" for k, v in row.items() if not isinstance(v, (list, dict))) + ".bin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_arrays([pa.array([named(row)]), pa.array([encode(row)], pa.binary())], ["name", "content"])
+
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(conf)
+    for row in rows.mapInArrow(run, "name string, content binary").toLocalIterator():
+        out = store.create(jvm.org.apache.hadoop.fs.Path(folder, row["name"]))
+        out.write(bytearray(row["content"]))
+        out.close()
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path, parse_regions, REGION)
 

@@ -6,7 +6,7 @@ import re
 import warnings
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,11 @@ def parse_options(text: str) -> TrackingOptions:
     return TrackingOptions(**given)
 
 
+def read_options(spark: SparkSession, path: str) -> TrackingOptions:
+    """Of the first file at a path of any store that Spark reads."""
+    return parse_options(spark.read.text(path, wholetext=True).first()["value"])
+
+
 MARKS = re.compile(r"\?{2,6}")
 
 

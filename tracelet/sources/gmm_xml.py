@@ -30,3 +30,21 @@ def write_gmm(components: DataFrame, path: str) -> None:
     attributes = [F.coalesce(F.col(n), F.lit(-1)).cast("string").alias(f"_{n}") if n == "parent" else F.col(n).cast("string").alias(f"_{n}") for n in SCALARS if n in have]
     attributes += [F.array_join(F.transform(n, lambda x: x.cast("string")), " ").alias(f"_{n}") for n in ARRAYS if n in have]
     components.select(*attributes).write.format("xml").option("rootTag", ROOT).option("rowTag", ROW).save(path)
+
+
+SURFACE, SURFACES = "Surface", "document"
+SURFACE_TEXTS = {"imgFilename": "img_filename", "className": "class_name", "svFilename": "sv_filename"}
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(mu, W, img_filename, class_name, class_val, sv_filename, sv_idx) of annotated ellipsoids: an element each, whose covarianceMatrix holds the centre and the packed matrix."""
+    names = ["covarianceMatrix", *SURFACE_TEXTS, "class", "svIdx"]
+    raw = spark.read.format("xml").option("rowTag", SURFACE).schema(T.StructType([T.StructField(f"_{n}", T.StringType()) for n in names])).load(path)
+    numbers = _array(F.col("_covarianceMatrix"), "double")
+    return raw.select(F.slice(numbers, 1, 3).alias("mu"), F.slice(numbers, 4, 6).alias("W"), *[F.col(f"_{n}").alias(to) for n, to in SURFACE_TEXTS.items()], F.col("_class").cast("int").alias("class_val"), _array(F.col("_svIdx"), "int").alias("sv_idx"))
+
+
+def write_annotations(annotations: DataFrame, path: str) -> None:
+    joined = [F.array_join(F.transform(x, lambda v: v.cast("string")), " ") for x in (F.concat("mu", "W"), F.col("sv_idx"))]
+    attributes = [joined[0].alias("_covarianceMatrix"), *[F.col(c).alias(f"_{n}") for n, c in SURFACE_TEXTS.items()], F.col("class_val").cast("string").alias("_class"), joined[1].alias("_svIdx")]
+    annotations.select(*attributes).write.format("xml").option("rootTag", SURFACES).option("rowTag", SURFACE).save(path)

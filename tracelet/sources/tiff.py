@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
@@ -110,3 +111,17 @@ def read_voxels(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, z int, y int, x int, v double")
+
+
+def write_series(voxels: DataFrame, path: str, pattern: str, kind: str = "float32") -> None:
+    """A file of pages z for each frame of voxels (frame, z, y, x, v), named by the pattern; places without a voxel are 0."""
+    from tracelet.sources.binary import write_files
+    from tracelet.sources.config import numbered_path
+
+    def encode(row: dict) -> bytes:
+        z, y, x, v = (np.array([p[c] for p in row["places"]]) for c in ("z", "y", "x", "v"))
+        stack = np.zeros((z.max() + 1, y.max() + 1, x.max() + 1), kind)
+        stack[z, y, x] = v
+        return write_pages(list(stack))
+
+    write_files(voxels.groupBy("frame").agg(F.collect_list(F.struct("z", "y", "x", "v")).alias("places")), path, encode, lambda row: numbered_path(pattern, row["frame"]))
