@@ -108,3 +108,14 @@ def gaussian_log_density(d: Sequence[Column], precision: Column) -> Column:
 
 def next_power_of_two(n: Column) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.pow(F.lit(2), F.length(F.bin(n - 1)))).cast("long")
+
+
+def mother_between_daughters(mother: Sequence[Column], first: Sequence[Column], second: Sequence[Column], scale: Sequence[float] = ISOTROPIC, tight: float = 16.0, far: float = 12.0) -> Column:
+    """How well a mother lies midway on the axis of two daughters, 1 to 0: exp(-q / 2), where q is her squared offset from their middle over d2 / tight along the axis and half of that across it, d being their distance; 0 for q over `far`, null if they coincide."""
+    axis = [(p - q) * s for p, q, s in zip(first, second, scale)]
+    off = [((p + q) / 2.0 - m) * s for p, q, m, s in zip(first, second, mother, scale)]
+    d2 = _sum(a * a for a in axis)
+    along = _sum(a * o for a, o in zip(axis, off))
+    along2 = F.try_divide(along * along, d2)
+    q = F.try_divide(tight * (along2 + 2.0 * (_sum(o * o for o in off) - along2)), d2)
+    return F.when(d2 > 0, F.when(q > far, 0.0).otherwise(F.exp(-0.5 * q)))

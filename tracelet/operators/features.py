@@ -105,6 +105,65 @@ def gentle_boost(samples: DataFrame, features: list[str], rounds: int, label: st
     return model
 
 
+def _least_tree(samples: DataFrame, features: list[str], depth: int, tree: int) -> list[tuple]:
+    """Rows of a regression tree (see boosting_score) of column y weighted by w, grown a level at a time: each level is one aggregate over all its nodes, and only a stump a node comes to the driver."""
+    rows: list[tuple] = []
+    where, open_, free = F.lit(0), {0: None}, 1
+    for level in range(depth):
+        at = samples.withColumn("node", where).filter(F.col("node").isin(list(open_)))
+        long = at.select("node", "y", "w", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("node", "y", "w", "s.*")
+        by_value = long.groupBy("node", "feature", "x").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("s"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("q"))
+        up, whole = Window.partitionBy("node", "feature").orderBy("x"), Window.partitionBy("node", "feature")
+        c = by_value.select("node", "feature", "x", F.lead("x").over(up).alias("next"), *[F.sum(k).over(up).alias(f"{k}0") for k in "ws"], *[F.sum(k).over(whole).alias(f"{k}t") for k in "wsq"]).filter("next is not null")
+        w1, s1 = F.col("wt") - F.col("w0"), F.col("st") - F.col("s0")
+        loss = F.round(F.col("qt") - F.col("s0") * F.col("s0") / F.col("w0") - s1 * s1 / w1, 9)
+        best = c.groupBy("node").agg(F.min(F.struct(loss.alias("loss"), "feature", ((F.col("x") + F.col("next")) / 2).alias("th"), (s1 / w1).alias("a"), (F.col("s0") / F.col("w0")).alias("b"))).alias("m"))
+        found = {r["node"]: r["m"] for r in best.collect()}
+        below = {}
+        for node in open_:
+            if (m := found.get(node)) is None:
+                rows.append((tree, node, -1, 0.0, open_[node] or 0.0, -1, -1))
+                continue
+            rows.append((tree, node, features.index(m["feature"]), m["th"], 0.0, free, free + 1))
+            where = F.when(where == node, F.when(F.col(m["feature"]) > m["th"], free).otherwise(free + 1)).otherwise(where)
+            below |= {free: m["a"], free + 1: m["b"]}
+            free += 2
+        open_ = below
+        if not open_:
+            break
+    return rows + [(tree, node, -1, 0.0, value, -1, -1) for node, value in open_.items()]
+
+
+def gradient_boost(samples: DataFrame, features: list[str], rounds: int, label: str = "y", depth: int = 1, rate: float = 0.5, loss: str = "l2", delta: float = 1.0) -> list[tuple]:
+    """Gradient boosting of trees of a depth for the losses l2, l1 and huber: each round fits a tree to the loss' negative gradient; a model as boosting_score reads it."""
+    from tracelet.plans.durable import durable
+
+    n = samples.select(*features, F.col(label).cast("double").alias("target"), F.lit(0.0).alias("reached"), F.lit(1.0).alias("w")).withColumn("features", F.array(*[F.col(f).cast("double") for f in features]))
+    model: list[tuple] = []
+    for t in range(rounds):
+        r = F.col("target") - F.col("reached")
+        gradient = {"l2": r, "l1": F.signum(r), "huber": F.least(F.greatest(r, F.lit(-delta)), F.lit(delta))}[loss]
+        tree = [(t, node, f, th, rate * value, gt, le) for _, node, f, th, value, gt, le in _least_tree(n.withColumn("y", gradient), features, depth, t)]
+        model += tree
+        n = boosting_score(n, tree).withColumn("reached", F.col("reached") + F.col("score")).drop("score")
+        if t % 5 == 4:
+            n = durable(n)
+    return model
+
+
+MODEL = "tree long, node long, feature long, th double, value double, gt long, le long"
+
+
+def save_model(spark, model: list[tuple], path: str) -> None:
+    """Rows of a model as JSON lines, in a folder of any store that Spark reaches."""
+    spark.createDataFrame(model, MODEL).coalesce(1).write.json(path)
+
+
+def load_model(spark, path: str) -> list[tuple]:
+    names = [x.split()[0] for x in MODEL.split(", ")]
+    return [tuple(r) for r in spark.read.schema(MODEL).json(path).select(*names).orderBy("tree", "node").collect()]
+
+
 def precision_recall(scored: DataFrame, step: float = 0.3) -> DataFrame:
     """(threshold, precision, recall, accuracy, tp, fp, fn, tn) at thresholds a step apart from the least score to the most; rows (y, score), y > 0 is positive. One pass: scores fall into steps, and sums over the steps above do the rest."""
     limits = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,18 @@ def derivative(values: DataFrame, line: Sequence[str], along: str) -> DataFrame:
     return values.select("*", ((after - before) / 2.0).alias("d1"), (after - 2 * F.col("v") + before).alias("d2"))
 
 
+def gradient(values: DataFrame, axes: Sequence[str] = ("x", "y", "z"), line: Sequence[str] = ()) -> DataFrame:
+    """values with g_ and h_ by axis, first and second central differences, their laplacian and the gradient's size; null where a neighbour is missing. Places are whole numbers, each once."""
+    out = values
+    for c in axes:
+        w = Window.partitionBy(*line, *[a for a in axes if a != c]).orderBy(c)
+        before, after = F.lag("v").over(w), F.lead("v").over(w)
+        whole = (F.lag(c).over(w) == F.col(c) - 1) & (F.lead(c).over(w) == F.col(c) + 1)
+        out = out.withColumn(f"g_{c}", F.when(whole, (after - before) / 2.0)).withColumn(f"h_{c}", F.when(whole, after + before - 2.0 * F.col("v")))
+    total = lambda terms: reduce(lambda p, q: p + q, terms)
+    return out.withColumn("laplacian", total([F.col(f"h_{c}") for c in axes])).withColumn("steepness", F.sqrt(total([F.col(f"g_{c}") * F.col(f"g_{c}") for c in axes])))
+
+
 def median2d(values: DataFrame, radius: int, plane: Sequence[str] = ("slice",)) -> DataFrame:
     """(plane, x, y, median) over the square of the radius; places outside the picture count as 0, and the median is the middle of all of them. Each place is dealt to those around it and taken up again by an aggregate."""
     side = F.sequence(F.lit(-radius), F.lit(radius))

@@ -133,6 +133,41 @@ def update_priors(gmm: DataFrame, alpha_share: float, beta_share: float, nu_shar
     return gmm.withColumn("alpha0", total * 1e-5 * alpha_share).withColumn("m0", F.col("m")).withColumn("beta0", F.greatest(beta_share * F.col("n_k"), F.lit(1e-5))).withColumn("w0", F.transform("w", lambda x: x * F.col("nu") / nu0)).withColumn("nu0", nu0)
 
 
+def priors_after_split(gmm: DataFrame, share: float = 0.5) -> DataFrame:
+    """The priors of a split's halves: their own means and precisions, trusted by `share` of their weight; alpha0 stays."""
+    nu0 = F.greatest(share * F.col("n_k"), F.lit(3.0))
+    return gmm.withColumn("m0", F.col("m")).withColumn("beta0", F.greatest(share * F.col("n_k"), F.lit(1e-5))).withColumn("w0", F.transform("w", lambda x: x * F.col("nu") / nu0)).withColumn("nu0", nu0)
+
+
+def priors_as_found(gmm: DataFrame) -> DataFrame:
+    """The posteriors become priors as they are; alpha0 stays."""
+    return gmm.withColumn("m0", F.col("m")).withColumn("beta0", F.col("beta")).withColumn("nu0", F.col("nu")).withColumn("w0", F.col("w"))
+
+
+def from_nuclei(moments: DataFrame) -> DataFrame:
+    """Components without priors of a frame's nuclei (frame, id, weight, x, y, z, w: packed precision): (frame, k, id, n_k, alpha, beta, nu, m, w, alpha0, beta0, nu0, m0, w0), k from 0 in id order."""
+    n = F.greatest("weight", F.lit(4.0))
+    m, w = F.array(*AXES), F.transform("w", lambda x: x / n)
+    k = F.row_number().over(Window.partitionBy("frame").orderBy("id")) - 1
+    zero = F.lit(0.0)
+    return moments.select("frame", k.cast("long").alias("k"), "id", F.col("weight").alias("n_k"), F.col("weight").alias("alpha"), F.col("weight").alias("beta"), n.alias("nu"), m.alias("m"), w.alias("w"), zero.alias("alpha0"), zero.alias("beta0"), F.lit(4.0).alias("nu0"), m.alias("m0"), w.alias("w0"))
+
+
+def pair_divergence(voxels: DataFrame, resp: DataFrame, gmm: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(frame, k1, k2, score): how far what two components of pairs (frame, k1, k2) share of the intensity is from their two Gaussians together, weighted by alpha."""
+    g = gmm.select("frame", "k", "alpha", "nu", "m", "w")
+    both = pairs.select("frame", "k1", "k2", F.explode(F.array("k1", "k2")).alias("k")).join(g, ["frame", "k"])
+    share = F.col("alpha") / F.sum("alpha").over(Window.partitionBy("frame", "k1", "k2"))
+    both = both.withColumn("share", share)
+    held = resp.filter(F.col("r") > 1e-3).join(pairs.select("frame", "k1", "k2", F.explode(F.array("k1", "k2")).alias("k")), ["frame", "k"]).groupBy("frame", "k1", "k2", "sv_id").agg(F.sum("r").alias("r"))
+    met = held.join(voxels, ["frame", "sv_id"])
+    d = quadratic_form([F.col(c) - F.col("m")[i] for i, c in enumerate(AXES)], F.col("w")) * F.col("nu")
+    density = F.col("share") * F.sqrt(determinant(F.col("w")) * F.pow("nu", F.lit(3))) * float((2 * np.pi) ** -1.5) * F.exp(-0.5 * d)
+    each = met.join(both, ["frame", "k1", "k2"]).groupBy("frame", "k1", "k2", "sv_id", *AXES).agg(F.first(F.col("r") * F.col("v")).alias("q"), F.sum(density).alias("p"))
+    q = F.col("q")
+    return each.filter((q > 0) & (F.col("p") > 0)).groupBy("frame", "k1", "k2").agg((F.sum(q * (F.log(q) - F.log("p"))) / F.sum(q) - F.log(F.sum(q))).alias("score"))
+
+
 def model_penalty(gmm: DataFrame, n: Column, parameters: int = 10) -> DataFrame:
     """(frame, penalty): description length of the live components: half their parameters times log of the share of data, and of the data."""
     live = gmm.filter("alpha > 0").withColumn("share", F.col("alpha") / F.sum("alpha").over(Window.partitionBy("frame")))
