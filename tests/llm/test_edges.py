@@ -272,6 +272,16 @@ def test_fingerprint_feels_order():
     assert fingerprint.likeness(same, make.of(" ".join(f"v{i}" for i in range(400)))) == 0
 
 
+def test_units_of_text_without_blanks():
+    make, rng = fingerprint.Fingerprints(), np.random.default_rng(3)
+    text = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 3000))
+    assert fingerprint.units("Ab " + text)[1:] == fingerprint.units(text) and b"".join(fingerprint.units(text)) == text.encode()
+    same = make.of(text)
+    assert fingerprint.likeness(same, make.of("x" + text)) > 0.9
+    assert fingerprint.likeness(same, make.of(text[:1500] + "y" + text[1500:])) > 0.9
+    assert fingerprint.likeness(same, make.of("".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 3000)))) == 0
+
+
 def test_contamination(spark):
     item = "where the winding river meets the silent sea a lantern burns for those who dare to dream of distant shores and golden light"
     edited = item.replace("silent", "quiet").replace("dare", "wish").upper()

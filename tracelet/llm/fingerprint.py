@@ -1,8 +1,10 @@
 """Order MinHash fingerprints of documents.
 
-A text is words cut at ASCII white space, A-Z in lower case; words of more than
-64 bytes are cut into pieces of 16. Its k-mers are K words in a row, each with
-its occurrence number. Each of HASHES functions picks the L = 2 least numbered
+A text is words cut at ASCII white space, A-Z in lower case, and cut within a
+word after any four bytes of it whose hash is one of sixteen: places that the
+text itself sets, so a byte more in front moves no other cut, and text without
+blanks has units too. Its k-mers are K such units in a row, each with its
+occurrence number. Each of HASHES functions picks the L = 2 least numbered
 k-mers; their hashes, in text order, are hashed to one value. The fingerprint
 is these values. The likeness of two fingerprints is the square root of the
 share of equal values: a value is equal only if both picks and their order are,
@@ -36,10 +38,25 @@ from tracelet.llm.words import MULTIPLIERS, WordHashes, mix, shingles
 
 K, HASHES = 3, 48
 BLOCK = 4096
-LONG_WORD, PIECE = 64, 16
+CUT_BITS = 4
+BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _odd = np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def units(text: str) -> list[bytes]:
+    data = text.encode().lower()
+    if len(data) > 4:
+        b = np.frombuffer(data, np.uint8)
+        four = b[:-3].astype(np.uint32)
+        for j in (1, 2, 3):
+            four |= b[j : len(b) - 3 + j].astype(np.uint32) << np.uint32(8 * j)
+        at = np.flatnonzero((four * np.uint32(0x9E3779B1)) >> np.uint32(32 - CUT_BITS) == 0)
+        blank = BLANK[b]
+        at = at[~(blank[at] | blank[at + 1] | blank[at + 2] | blank[at + 3])] + 4
+        data = np.insert(b, at, 32).tobytes()
+    return data.split()
+
+
 def numbered(kmers: np.ndarray) -> np.ndarray:
     """Hashes of (k-mer, occurrence number)."""
     n = len(kmers)
@@ -91,9 +108,7 @@ class Fingerprints:
         self.hashes = WordHashes()
 
     def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        if max(map(len, words), default=0) > LONG_WORD:
-            words = [w[a : a + PIECE] if len(w) > LONG_WORD else w for w in words for a in (range(0, len(w), PIECE) if len(w) > LONG_WORD else (0,))]
+        words = units(text)
         return order_minhash(np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words)))
 
 
