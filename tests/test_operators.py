@@ -1,27 +1,38 @@
-import itertools
 import math
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracelet.operators import assign, features, filters, graph, mixture, segment, spatial, trees
 from tracelet.operators import regions as rg
 
 
-def cheapest(cost):
-    n, m = cost.shape
-    return min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 5), st.randoms(use_true_random=False))
+def test_matching_is_the_cheapest(n, m, rng):
+    """Against all choices, with missing and parallel edges and ties."""
+    edges = [(i, j + 10, rng.choice([rng.random(), 0.5, 1.0])) for i in range(n) for j in range(m) for _ in range(rng.choice([0, 1, 1, 2]))]
+    if not edges:
+        return
+    s, d, c = map(np.array, zip(*edges))
+    least = {}
+    for i, j, x in edges:
+        least[i, j] = min(x, least.get((i, j), 9.0))
+    rows = sorted({i for i, _, _ in edges})
 
+    def best(k, taken):
+        if k == len(rows):
+            return 0.0
+        ways = [0.75 + best(k + 1, taken)]
+        return min(ways + [x + best(k + 1, taken | {j}) for (i, j), x in least.items() if i == rows[k] and j not in taken])
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 5), st.integers(0, 2), st.randoms(use_true_random=False))
-def test_matching_is_the_cheapest(n, more, rng):
-    cost = np.array([[rng.choice([rng.random(), 0.5, 1.0]) for _ in range(n + more)] for _ in range(n)])
-    got = assign.least_cost_matching(cost)
-    assert len(set(got.tolist())) == n and got.min() >= 0
-    assert cost[np.arange(n), got].sum() == pytest.approx(cheapest(cost))
+    got = assign.assign_edges(s, d, c, 0.75)
+    used = [j for j in got.values() if j is not None]
+    assert sorted(got) == rows and len(set(used)) == len(used)
+    assert sum(0.75 if j is None else least[i, j] for i, j in got.items()) == pytest.approx(best(0, frozenset()))
 
 
 def test_hand_case():
@@ -233,3 +244,29 @@ def test_suggestions_and_collapse(spark):
     assert [(r["node"], round(r["score"], 3)) for r in segment.suggest_split(m, tree).collect()] == [(1, 0.4)]
     chain = spark.createDataFrame([(0, None), (1, 0), (2, 0), (3, 1), (4, 3)], "id long, parent long")
     assert {r["id"]: r["parent"] for r in segment.collapse_single_children(chain).collect()} == {0: None, 2: 0, 4: 0}
+
+
+def test_nearest_seed_in_cubes(spark):
+    rng = np.random.default_rng(8)
+    from tracelet.operators import spatial
+
+    p = [(i, *map(float, x)) for i, x in enumerate(rng.normal(size=(150, 3)) ** 3 * 4)] + [(200, None, 0.0, 0.0), (201, 900.0, 0.0, 0.0)]
+    seeds = [(i, *map(float, x)) for i, x in enumerate(rng.normal(size=(25, 3)))] + [(30, None, 1.0, 1.0)]
+    a = spark.createDataFrame(p, "id long, x double, y double, z double")
+    b = spark.createDataFrame(seeds, "seed_id long, x double, y double, z double")
+    both = [{r["id"]: r["seed_id"] for r in spatial.nearest_seed(a, b, few=few).collect()} for few in (1024, 1)]
+    want = {i: min((sum((u - v) ** 2 for u, v in zip(x, s)), k) for k, *s in seeds if s[0] is not None)[1] for i, *x in p if x[0] is not None}
+    assert both == [want, want] and spatial.nearest_seed(a.limit(0), b, few=1).count() == 0
+
+
+def test_dendrograms_and_boosting(spark):
+    from tracelet.operators import features
+
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.integers(0, 9, 2))) for i in range(80)]
+    rows = [(i, a, b, 3.0 * (a > 4) + 2.0 * (a > 4 and b > 2)) for i, a, b in rows]
+    s = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    for loss in ("l2", "l1", "huber"):
+        model = features.gradient_boost(s, ["a", "b"], 6, depth=2, rate=1.0, loss=loss)
+        got = {r["id"]: r["score"] for r in features.boosting_score(s.withColumn("features", F.array("a", "b")), model).collect()}
+        assert max(abs(got[i] - y) for i, _, _, y in rows) < (1e-9 if loss == "l2" else 1.01)

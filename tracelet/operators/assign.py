@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,51 +12,66 @@ from pyspark.sql import functions as F
 from tracelet.operators import graph
 
 
-def least_cost_matching(cost: np.ndarray) -> np.ndarray:
-    """Column of each row of an n x m cost matrix, n <= m, with the least total. Shortest augmenting paths over dual prices, in O(n * n * m)."""
-    n, m = cost.shape
-    row_price, column_price = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
+def assign_edges(src: np.ndarray, dst: np.ndarray, cost: np.ndarray, refusal: float) -> dict:
+    """dst of each src, None where leaving it out (at cost refusal) is better. Every src may be left out on its own.
+
+    A src at a time takes the cheapest way through the edges of those already placed: a shortest path over dual prices,
+    which ends at a free dst, or where one on the way is left out instead. Only edges are held, none that isn't given.
+    """
+    rows, columns = np.unique(src), np.unique(dst)
+    n, m = len(rows), len(columns)
+    order = np.lexsort([cost, np.searchsorted(columns, dst), np.searchsorted(rows, src)])
+    r, c, w = np.searchsorted(rows, src)[order], np.searchsorted(columns, dst)[order], cost[order]
+    first = np.ones(len(r), bool)
+    first[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])  # of parallel edges the cheapest
+    r, c, w = r[first], c[first], w[first].astype(float)
+    starts = np.searchsorted(r, np.arange(n + 1))
+    column_price = np.zeros(m)
+    owner, place = np.full(m, -1), np.full(n, -1)
+    paid = np.zeros(n)  # cost of the edge that a row holds
     for start in range(n):
-        reach, seen = np.full(m, np.inf), np.zeros(m, bool)
-        came = np.full(m, -1)
-        row, base, last = start, 0.0, -1
+        best: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        out, out_row, row, base = refusal, start, start, 0.0
         while True:
-            slack = cost[row] - row_price[row] - column_price + base
-            closer = ~seen & (slack < reach)
-            reach[closer], came[closer] = slack[closer], last
-            open_reach = np.where(seen, np.inf, reach)
-            j = int(open_reach.argmin())
-            base = open_reach[j]
-            seen[j] = True
-            last = j
+            for e in range(starts[row], starts[row + 1]):
+                j = int(c[e])
+                d = base + w[e] - column_price[j]
+                if j not in done and d < best.get(j, np.inf):
+                    best[j], came[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in done or heap[0][0] > best[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] > out:
+                end, column = out, -1
+                break
+            d, j = heapq.heappop(heap)
+            done.add(j)
             if owner[j] < 0:
+                end, column = d, j
                 break
-            row = owner[j]
-        done = np.flatnonzero(seen & (reach < base))
-        row_price[start] += base
+            row = int(owner[j])
+            base = d - (paid[row] - column_price[j])
+            if base + refusal < out:
+                out, out_row = base + refusal, row
         for j in done:
-            row_price[owner[j]] += base - reach[j]
-            column_price[j] -= base - reach[j]
-        while last >= 0:
-            before = came[last]
-            owner[last] = owner[before] if before >= 0 else start
-            last = before
-    out = np.full(n, -1)
-    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
-    return out
-
-
-def assign_edges(src: np.ndarray, dst: np.ndarray, cost: np.ndarray, refusal: float) -> dict:
-    """dst of each src, None where leaving it out (at cost refusal) is better. Every src may be left out on its own."""
-    rows, columns = np.unique(src), np.unique(dst)
-    n, m = len(rows), len(columns)
-    never = (abs(cost).sum() + n * abs(refusal) + 1) * 4
-    full = np.full((n, m + n), never)
-    np.minimum.at(full, (np.searchsorted(rows, src), np.searchsorted(columns, dst)), cost)
-    full[np.arange(n), m + np.arange(n)] = refusal
-    got = least_cost_matching(full)
-    return {rows[i].item(): columns[j].item() if j < m else None for i, j in enumerate(got)}
+            if best[j] < end:
+                column_price[j] -= end - best[j]
+        if column < 0:  # out_row is left out, those before it move up
+            column = place[out_row]
+            place[out_row] = -1
+            if out_row == start:
+                continue
+        while True:
+            row = came[column]
+            free, place[row], owner[column] = place[row], column, row
+            paid[row] = w[starts[row] + np.searchsorted(c[starts[row] : starts[row + 1]], column)]
+            if row == start:
+                break
+            column = free
+    return {rows[i].item(): columns[j].item() if j >= 0 else None for i, j in enumerate(place)}
 
 
 def assign(candidates: DataFrame, threshold: float) -> DataFrame:

@@ -73,18 +73,28 @@ def gradient(values: DataFrame, axes: Sequence[str] = ("x", "y", "z"), line: Seq
     return out.withColumn("laplacian", total([F.col(f"h_{c}") for c in axes])).withColumn("steepness", F.sqrt(total([F.col(f"g_{c}") * F.col(f"g_{c}") for c in axes])))
 
 
-def median2d(values: DataFrame, radius: int, plane: Sequence[str] = ("slice",)) -> DataFrame:
-    """(plane, x, y, median) over the square of the radius; places outside the picture count as 0, and the median is the middle of all of them. Each place is dealt to those around it and taken up again by an aggregate."""
-    side = F.sequence(F.lit(-radius), F.lit(radius))
-    dealt = values.select(*plane, "x", "y", "v").withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
-    at = dealt.select(*plane, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "v").groupBy(*plane, "x", "y").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    size = (2 * radius + 1) ** 2
-    outside = size - F.size("vs")
-    negative = F.size(F.filter("vs", lambda v: v < 0))
-    middle = size // 2
-    # the zeros from outside stand between the negative values and the others
-    median = F.when(negative > middle, F.get(F.col("vs"), F.lit(middle))).when(negative + outside > middle, F.lit(0).cast(dict(values.dtypes)["v"])).otherwise(F.get(F.col("vs"), F.lit(middle) - outside))
-    return values.select(*plane, "x", "y").join(at, [*plane, "x", "y"]).select(*plane, "x", "y", median.alias("median"))
+def median2d(values: DataFrame, radius: int, plane: Sequence[str] = ("slice",), tile: int = 64) -> DataFrame:
+    """(plane, x, y, median) over the square of the radius; places outside the picture count as 0, and the median is the middle of all of them. A place is dealt to its tile, and to those that it borders; a tile is one array."""
+    side = 2 * radius + 1
+    kinds = dict(values.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(pdf.tx.iloc[0]) * tile, int(pdf.ty.iloc[0]) * tile
+        x, y = pdf.x.to_numpy() - x0, pdf.y.to_numpy() - y0
+        area = np.zeros((tile + 2 * radius, tile + 2 * radius), pdf.v.dtype)
+        area[x + radius, y + radius] = pdf.v.to_numpy()
+        inside = (x >= 0) & (x < tile) & (y >= 0) & (y < tile)
+        around = np.lib.stride_tricks.sliding_window_view(area, (side, side))[x[inside], y[inside]].reshape(-1, side * side)
+        out = pdf.loc[inside, [*plane, "x", "y"]].copy()
+        out["median"] = np.partition(around, side * side // 2, 1)[:, side * side // 2]
+        return out
+
+    dealt = values.select(*plane, "x", "y", "v")
+    for c in ("x", "y"):
+        lo, hi = (F.floor((F.col(c) + r) / tile) for r in (-radius, radius))
+        dealt = dealt.withColumn(f"t{c}", F.explode(F.sequence(lo, hi)))
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*plane, "x", "y"]] + [f"median {kinds['v']}"])
+    return dealt.groupBy(*plane, "tx", "ty").applyInPandas(run, schema)
 
 
 def histogram(values: DataFrame, size: float, offset: float, *keys: str) -> DataFrame:

@@ -7,14 +7,18 @@ join, so no pair farther than twice the radius is ever made.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelet.functions.geometry import ISOTROPIC, squared_distance
+from tracelet.plans.durable import durable
 
 AXES = ("x", "y", "z")
+FEW_SEEDS = 1024
 
 
 def _cube(axis: str, scale: float, radius: float) -> Column:
@@ -54,16 +58,38 @@ def knn_backward(points: DataFrame, k: int, radius: float, scale: Sequence[float
     return knn_join(points, points, k, radius, scale, frame_step=-1)
 
 
-def nearest_seed(points: DataFrame, seeds: DataFrame, scale: Sequence[float] = ISOTROPIC) -> DataFrame:
-    """Each point's nearest seed (seed_id, x, y, z), at any distance: (id, seed_id, d2). Ties go to the smaller seed.
+def nearest_seed(points: DataFrame, seeds: DataFrame, scale: Sequence[float] = ISOTROPIC, few: int = FEW_SEEDS) -> DataFrame:
+    """Each point's nearest seed (seed_id, x, y, z), at any distance: (id, seed_id, d2). Ties go to the smaller seed; points or seeds without a place have none.
 
-    Seeds are few by contract; the pairs of a point are reduced as they are made.
+    Up to `few` seeds, as a count tells, are sent to all points, whose pairs are reduced as they are made. More are met in
+    cubes: at first about a seed wide, then twice as wide for the points that have found none.
     """
-    s = seeds.select("seed_id", *[F.col(c).alias(f"s{c}") for c in AXES])
-    d2 = squared_distance([F.col(c) for c in AXES], [F.col(f"s{c}") for c in AXES], scale)
-    met = points.select("id", *AXES).crossJoin(s).select("id", "seed_id", d2.alias("d2"))
-    best = met.groupBy("id").agg(F.min(F.struct("d2", "seed_id")).alias("m"))
-    return best.select("id", "m.seed_id", "m.d2")
+    placed = lambda df: df.dropna(subset=list(AXES))
+    points, seeds = placed(points.select("id", *AXES)), placed(seeds.select("seed_id", *AXES))
+    corners = [f(F.col(c) * s) for c, s in zip(AXES, scale) for f in (F.min, F.max)]
+    count, *box = seeds.agg(F.count("*"), *corners).first()
+    if count <= few:
+        s = seeds.select("seed_id", *[F.col(c).alias(f"s{c}") for c in AXES])
+        d2 = squared_distance([F.col(c) for c in AXES], [F.col(f"s{c}") for c in AXES], scale)
+        met = points.crossJoin(F.broadcast(s)).select("id", "seed_id", d2.alias("d2"))
+        return met.groupBy("id").agg(F.min(F.struct("d2", "seed_id")).alias("m")).select("id", "m.seed_id", "m.d2")
+    theirs = points.agg(*corners).first()
+    if theirs[0] is None:
+        return points.select("id", F.lit(None).cast("long").alias("seed_id"), F.lit(0.0).alias("d2"))
+    spans = [max(box[i + 1], theirs[i + 1]) - min(box[i], theirs[i]) for i in (0, 2, 4)]
+    whole = math.hypot(*spans) or 1.0
+    radius = max(max(box[i + 1] - box[i] for i in (0, 2, 4)), whole * 1e-6) / count ** (1 / 3)
+    here = seeds.select(F.col("seed_id").alias("id"), *AXES, F.lit(0).alias("frame"))
+    left, found = durable(points.withColumn("frame", F.lit(0))), []
+    while True:
+        hit = durable(knn_join(left, here, 1, radius, scale).select(F.col("a_id").alias("id"), F.col("b_id").alias("seed_id"), "d2"))
+        found.append(hit)
+        if radius > whole:
+            break
+        left, radius = durable(left.join(hit, "id", "left_anti")), 2 * radius
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, found)
 
 
 def touching_seeds(labelled: DataFrame, radius: float) -> DataFrame:

@@ -92,20 +92,22 @@ def region_sql(name: str, line: int | None) -> str:
 
 
 DX, DY, DZ = 24, 18, 4
+VECTORS_A_FRAME = 250
 
 
-def volume(spark: SparkSession) -> DataFrame:
-    """A small picture: hills of whole numbers, in 2 frames, cut into blocks sv_id."""
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures: hills of whole numbers, cut into blocks sv_id, in a frame for every VECTORS_A_FRAME embeddings."""
     n = DX * DY * DZ
     i = F.col("voxel_id")
-    g = spark.range(2 * n).select((F.col("id") / n).cast("int").alias("frame"), (F.col("id") % n).alias("voxel_id"))
+    frames = max(2, table(spark, sf_dir, "embeddings").count() // VECTORS_A_FRAME)
+    g = spark.range(frames * n).select((F.col("id") / n).cast("int").alias("frame"), (F.col("id") % n).alias("voxel_id"))
     g = g.select("frame", "voxel_id", (i % DX).cast("int").alias("x"), ((i / DX).cast("int") % DY).cast("int").alias("y"), (i / (DX * DY)).cast("int").alias("z"))
     v = 40 * F.abs((F.col("x") + 3 * F.col("frame")) % 12 - 6) + 25 * F.abs(F.col("y") % 10 - 5) + 10 * F.col("z") + (F.col("x") * 7 + F.col("y") * 5 + F.col("z") * 3) % 11
     return g.select("*", v.cast("long").alias("v"), ((F.col("x") / 7).cast("int") + 4 * (F.col("y") / 5).cast("int") + 16 * F.col("frame")).alias("sv_id"))
 
 
 VOLUME = f"""grid as (
-  select (i // {DX * DY * DZ})::int as frame, i % {DX * DY * DZ} as voxel_id, (i % {DX})::int as x, ((i // {DX}) % {DY})::int as y, ((i % {DX * DY * DZ}) // {DX * DY})::int as z from range({2 * DX * DY * DZ}) t(i)
+  select (i // {DX * DY * DZ})::int as frame, i % {DX * DY * DZ} as voxel_id, (i % {DX})::int as x, ((i // {DX}) % {DY})::int as y, ((i % {DX * DY * DZ}) // {DX * DY})::int as z from (select unnest(range((select greatest(2, count(*) // {VECTORS_A_FRAME}) from embeddings) * {DX * DY * DZ})) as i)
 ), volume as (
   select *, (40 * abs((x + 3 * frame) % 12 - 6) + 25 * abs(y % 10 - 5) + 10 * z + (x * 7 + y * 5 + z * 3) % 11)::bigint as v, x // 7 + 4 * (y // 5) + 16 * frame as sv_id from grid
 )"""

@@ -70,7 +70,7 @@ def range_join(spark, d):
 SEEDED = """seeded as (
   select p.id, s.id as seed_id, (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z) as d2,
     row_number() over (partition by p.id order by (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), s.id) as rn
-  from points p cross join (select * from points where id < 12) s
+  from points p cross join (select * from points where id in (select min(id) from points group by frame, label)) s
 )"""
 
 
@@ -80,7 +80,7 @@ def _labelled(p):
 
 
 def _seeds(p):
-    return p.filter("id < 12").withColumnRenamed("id", "seed_id")
+    return _labelled(p).withColumnRenamed("id", "seed_id")
 
 
 @query("nearest_seed", f"with {c.POINTS}, {SEEDED} select id, seed_id, round(d2, 6) as d2 from seeded where rn = 1")
@@ -204,7 +204,7 @@ def weighted_centroid(spark, d):
 
 @query("region_shape", f"with {c.VOLUME} select sv_id, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1, (list_sort(list(z))[floor(count(*) * 0.95)::int + 1] - list_sort(list(z))[floor(count(*) * 0.05)::int + 1])::int as delta_z from volume where v > 150 group by sv_id")
 def region_shape(spark, d):
-    r = c.volume(spark).filter("v > 150")
+    r = c.volume(spark, d).filter("v > 150")
     return r.groupBy("sv_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).join(rg.delta_z(r), "sv_id")
 
 
@@ -237,18 +237,18 @@ BRIGHT = f"{c.VOLUME}, bright as (select * from volume where v > 120), {SIX}"
 
 @query("compactness", f"with {BRIGHT}, k as (select a.sv_id, count(*) as k from bright a, off join bright b on b.sv_id = a.sv_id and b.x = a.x + dx and b.y = a.y + dy and b.z = a.z + dz group by 1) select sv_id, count(*) as n, round(coalesce(any_value(k), 0) / count(*), 6) as mean_neighbours from bright left join k using (sv_id) group by sv_id")
 def compactness(spark, d):
-    return rounded(rg.compactness(c.volume(spark).filter("v > 120"), 6), "mean_neighbours")
+    return rounded(rg.compactness(c.volume(spark, d).filter("v > 120"), 6), "mean_neighbours")
 
 
 @query("touching", f"with {BRIGHT}, f as (select * from bright where frame = 0) select a.sv_id as a, b.sv_id as b, count(distinct (a.x, a.y, a.z)) as n_border, count(distinct (b.x, b.y, b.z)) as n_border_b from f a, off join f b on b.x = a.x + dx and b.y = a.y + dy and b.z = a.z + dz where a.sv_id <> b.sv_id group by 1, 2")
 def touching(spark, d):
-    v = c.volume(spark).filter("v > 120 and frame = 0")
+    v = c.volume(spark, d).filter("v > 120 and frame = 0")
     return rg.touching(v, v, 6)
 
 
 @query("border_voxels", f"with {BRIGHT}, k as (select a.sv_id, a.voxel_id, count(b.voxel_id) as k from bright a cross join off left join bright b on b.sv_id = a.sv_id and b.x = a.x + dx and b.y = a.y + dy and b.z = a.z + dz group by 1, 2) select sv_id, count(*) as n from k where k < 6 group by sv_id")
 def border_voxels(spark, d):
-    return rg.border_voxels(c.volume(spark).filter("v > 120"), 6).groupBy("sv_id").agg(F.count("*").alias("n"))
+    return rg.border_voxels(c.volume(spark, d).filter("v > 120"), 6).groupBy("sv_id").agg(F.count("*").alias("n"))
 
 
 @query("overlap_shifted", f"""with {BRIGHT}, ce as (select sv_id, frame, avg(x) as x, avg(y) as y, avg(z) as z, count(*) as n from bright group by 1, 2),
@@ -256,14 +256,14 @@ pr as (select a.sv_id as a, b.sv_id as b, a.n as na, b.n as nb, trunc(b.x - a.x)
 cm as (select a, b, count(*) as n from pr join bright va on va.sv_id = a join bright vb on vb.sv_id = b and vb.x = va.x + dx and vb.y = va.y + dy and vb.z = va.z + dz group by 1, 2)
 select a, b, round(coalesce(n, 0) / (na + nb - coalesce(n, 0)), 6) as jaccard from pr left join cm using (a, b)""")
 def overlap_shifted(spark, d):
-    v = c.volume(spark).filter("v > 120")
+    v = c.volume(spark, d).filter("v > 120")
     pairs = v.filter("frame = 0").select(F.col("sv_id").alias("a"), (F.col("sv_id") + 16).alias("b")).distinct()
     return rounded(rg.overlap_shifted(v.filter("frame = 0"), v.filter("frame = 1"), pairs), "jaccard")
 
 
 @query("trim")
 def trim(spark, d):
-    v = c.volume(spark).filter("frame = 0")
+    v = c.volume(spark, d).filter("frame = 0")
     out = rg.trim(v, rg.region_threshold(v, 60, 0.5), 6)
     return out.groupBy("sv_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
@@ -410,10 +410,10 @@ def displacement_threshold(spark, d):
     return rounded(trees.displacement_threshold(trees.displacement(c.forest(spark, d))), "threshold")
 
 
-@query("cut_sublineages", f"{TREE} select a.ancestor as top, a.id, case when a.id <> a.ancestor then n.parent end as parent, n.frame - t.frame as frame from anc a join nodes n on n.id = a.id join nodes t on t.id = a.ancestor where a.ancestor % 9 = 4 and n.frame < t.frame + 3")
+@query("cut_sublineages", f"{TREE} select a.ancestor as top, a.id, case when a.id <> a.ancestor then n.parent end as parent, n.frame - t.frame as frame from anc a join nodes n on n.id = a.id join nodes t on t.id = a.ancestor join kids k on k.id = a.ancestor where k.n_children = 2 and n.frame < t.frame + 3")
 def cut_sublineages(spark, d):
     f = c.forest(spark, d)
-    return trees.cut_sublineages(f, f.filter("id % 9 = 4").select("id"), 3).select("top", "id", "parent", "frame")
+    return trees.cut_sublineages(f, trees.children_count(f).filter("n_children = 2").select("id"), 3).select("top", "id", "parent", "frame")
 
 
 @query("evict", f"{TREE} select id, case when frame > 4 then parent end as parent, frame from nodes where frame >= 4")
@@ -486,6 +486,13 @@ def assign_frames(spark, d):
     return rounded(assign.assign(cand, 0.02), "cost")
 
 
+@query("assign_by_hand", "select src::bigint as src, dst::bigint as dst, cost::double as cost from (values (0, 1, 0.5), (1, null, 0.85), (2, 3, 0.8)) t(src, dst, cost)")
+def assign_by_hand(spark, d):
+    """Three sources and four destinations, whose optimum by trying all is 2.15."""
+    cand = spark.createDataFrame([(0, 0, 0.7), (0, 1, 0.5), (1, 1, 0.8), (2, 2, 0.9), (2, 3, 0.8)], "src long, dst long, cost double")
+    return assign.assign(cand, 0.85)
+
+
 @query("extend_one_to_one", f"with {c.POINTS}, {_near(1)}, f as (select a_id as src, b_id as dst, d2 as cost from near where d2 <= 0.03 and a_id % 3 > 0 and b_id % 3 > 0), r as (select *, row_number() over (partition by src order by cost, dst) as a, row_number() over (partition by dst order by cost, src) as b from f) select src, dst, round(cost, 6) as cost from r where a = 1 and b = 1")
 def extend_one_to_one(spark, d):
     p = c.points(spark, d)
@@ -508,17 +515,17 @@ def prune_hypotheses(spark, d):
 
 @query("watershed")
 def watershed(spark, d):
-    return segment.watershed(c.volume(spark), 60, 30, 6)
+    return segment.watershed(c.volume(spark, d), 60, 30, 6)
 
 
 @query("dendrogram")
 def dendrogram(spark, d):
-    return segment.dendrogram(c.volume(spark), 60, 10, 6)
+    return segment.dendrogram(c.volume(spark, d), 60, 10, 6)
 
 
 @query("region_adjacency", f"with {BRIGHT}, f as (select * from bright where frame = 1) select a.sv_id as u, b.sv_id as v, count(distinct (a.x, a.y, a.z)) as n_border from f a, off join f b on b.x = a.x + dx and b.y = a.y + dy and b.z = a.z + dz where a.sv_id < b.sv_id group by 1, 2")
 def region_adjacency(spark, d):
-    return segment.region_adjacency(c.volume(spark).filter("v > 120 and frame = 1").withColumn("label", F.col("sv_id")), 6)
+    return segment.region_adjacency(c.volume(spark, d).filter("v > 120 and frame = 1").withColumn("label", F.col("sv_id")), 6)
 
 
 # filters and thresholds
@@ -532,7 +539,7 @@ def sliding(spark, d):
 
 @query("convolve", f"with {c.VOLUME} select frame, voxel_id, round((coalesce(0.25 * lag(v) over w, 0) + 0.5 * v + coalesce(0.25 * lead(v) over w, 0))::double, 6) as convolved from volume window w as (partition by frame, y, z order by x)")
 def convolve(spark, d):
-    v = c.volume(spark).withColumn("v", F.col("v").cast("double"))
+    v = c.volume(spark, d).withColumn("v", F.col("v").cast("double"))
     return rounded(filters.convolve(v, ["frame", "y", "z"], "x", [0.25, 0.5, 0.25]).select("frame", "voxel_id", "convolved"), "convolved")
 
 
@@ -543,7 +550,7 @@ def derivative(spark, d):
 
 @query("median2d", f"with {c.VOLUME}, s as (select a.frame, a.z, a.x, a.y, coalesce(b.v, 0) as v from volume a cross join range(-2, 3) i(dx) cross join range(-2, 3) j(dy) left join volume b on b.frame = a.frame and b.z = a.z and b.x = a.x + dx and b.y = a.y + dy) select frame, z, x, y, list_sort(list(v))[13] as median from s group by all")
 def median2d(spark, d):
-    return filters.median2d(c.volume(spark), 2, ["frame", "z"])
+    return filters.median2d(c.volume(spark, d), 2, ["frame", "z"])
 
 
 def _quantities(spark, d):
@@ -597,12 +604,12 @@ def rescale(spark, d):
 
 @query("down_sample", f"with {c.VOLUME} select (x // 4)::bigint as x, (y // 4)::bigint as y, (z // 4)::bigint as z, round(avg(v), 6) as v, count(*) as n from volume where frame = 0 group by 1, 2, 3")
 def down_sample(spark, d):
-    return rounded(filters.down_sample(c.volume(spark).filter("frame = 0"), 4), "v")
+    return rounded(filters.down_sample(c.volume(spark, d).filter("frame = 0"), 4), "v")
 
 
 @query("pad_clip", f"with {c.VOLUME} select gx::int as x, gy::int as y, gz::int as z, coalesce(v, 0) as v from range(-1, 4) a(gx) cross join range(-1, 3) b(gy) cross join range(0, 2) e(gz) left join (select * from volume where frame = 0 and x between 0 and 2) on x = gx and y = gy and z = gz")
 def pad_clip(spark, d):
-    v = filters.clip(c.volume(spark).filter("frame = 0").select("x", "y", "z", "v"), (0, -9, -9), (2, 99, 99))
+    v = filters.clip(c.volume(spark, d).filter("frame = 0").select("x", "y", "z", "v"), (0, -9, -9), (2, 99, 99))
     return filters.pad(v, (-1, -1, 0), (3, 2, 1))
 
 
@@ -628,7 +635,7 @@ def correlation(spark, d):
 # mixtures
 
 
-def _mixture(spark, d, chosen=lambda p: p.filter("id < 60")):
+def _mixture(spark, d, chosen=_labelled):
     p = c.points(spark, d)
     voxels = p.select("frame", F.col("id").alias("sv_id"), "x", "y", "z", (F.col("v") + 0.01).alias("v"))
     seeds = chosen(p).select("frame", F.col("id").alias("k"), F.lit(1.0).alias("alpha0"), F.lit(1.0).alias("beta0"), F.lit(4.0).alias("nu0"), F.array("x", "y", "z").alias("m0"), F.array(*[F.lit(v) for v in (10.0, 0.0, 0.0, 10.0, 0.0, 10.0)]).alias("w0"))
@@ -640,7 +647,7 @@ def _mixture(spark, d, chosen=lambda p: p.filter("id < 60")):
 
 @query(
     "em_step",
-    f"""with {c.POINTS}, s as (select * from points where id < 60), dd as (select p.frame, p.id, s.id as k, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 + (p.z - s.z) ** 2 as d2, row_number() over (partition by p.id order by (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), s.id) as rn from points p join s on s.frame = p.frame),
+    f"""with {c.POINTS}, s as (select * from points where id in (select min(id) from points group by frame, label)), dd as (select p.frame, p.id, s.id as k, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 + (p.z - s.z) ** 2 as d2, row_number() over (partition by p.id order by (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), s.id) as rn from points p join s on s.frame = p.frame),
 e as (select frame, id, k, exp(-20 * d2) as e from dd where rn <= 3 and d2 < 1.44), r as (select frame, id, k, e / sum(e) over (partition by id) as r from e),
 m as (select r.frame, r.k, sum(r * (v + 0.01)) as n, sum(r * (v + 0.01) * x) as sx, sum(r * (v + 0.01) * x * x) as sxx from r join points p on p.id = r.id group by 1, 2)
 select frame, k, round(n, 6) as n_k, round(1 + n, 6) as alpha, round(4 + n, 6) as nu, round((s.x + sx) / (1 + n), 6) as mx, round(0.1 + sxx - sx * sx / n + n / (1 + n) * (sx / n - s.x) ** 2, 6) as wxx_inv from m join s using (frame) where s.id = k""",
@@ -653,7 +660,7 @@ def em_step(spark, d):
     return rounded(out, "n_k", "alpha", "nu", "mx", "wxx_inv")
 
 
-@query("log_likelihood", f"""with {c.POINTS}, s as (select * from points where id < 60), dd as (select p.frame, p.id, p.v, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 + (p.z - s.z) ** 2 as d2, row_number() over (partition by p.id order by (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), s.id) as rn from points p join s on s.frame = p.frame),
+@query("log_likelihood", f"""with {c.POINTS}, s as (select * from points where id in (select min(id) from points group by frame, label)), dd as (select p.frame, p.id, p.v, (p.x - s.x) ** 2 + (p.y - s.y) ** 2 + (p.z - s.z) ** 2 as d2, row_number() over (partition by p.id order by (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z), s.id) as rn from points p join s on s.frame = p.frame),
 k as (select frame, count(*) as k from s group by frame), q as (select frame, id, any_value(v) + 0.01 as v, sum(exp(-20 * d2)) / any_value(k) * sqrt(64000.0) * (2 * pi()) ** -1.5 as p from dd join k using (frame) where rn <= 3 and d2 < 1.44 group by frame, id) select frame, round(sum(v * ln(p)), 4) as ll from q group by frame""")
 def log_likelihood(spark, d):
     return rounded(mixture.log_likelihood(*_mixture(spark, d)), "ll", places=4)
@@ -661,7 +668,7 @@ def log_likelihood(spark, d):
 
 @query("mixture_fit")
 def mixture_fit(spark, d):
-    voxels, gmm, _ = _mixture(spark, d, _labelled)
+    voxels, gmm, _ = _mixture(spark, d)
     f = mixture.fit(voxels, gmm.drop("alpha", "beta", "nu", "m", "w"), nearest=3, iterations=20)
     return mixture.strongest(f.select("frame", "sv_id", "k", "r"), 0.3)
 

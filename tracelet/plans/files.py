@@ -137,7 +137,7 @@ STACK = f"with {c.VOLUME} select frame, z, y, x, v::double as v from volume"
 def picture_series(spark, d):
     """A stack of pages for each frame, in files numbered by frame."""
     at = _place(spark)
-    tiff.write_series(c.volume(spark), at, "TM???.tif")
+    tiff.write_series(c.volume(spark, d), at, "TM???.tif")
     read = tiff.read_voxels(spark, f"{at}/*")
     return read.select(config.frame_of_path("TM???.tif", F.col("path")).alias("frame"), "z", "y", "x", "v")
 
@@ -145,7 +145,7 @@ def picture_series(spark, d):
 @query("picture_values", f"with {c.VOLUME} select v, case when v % 2 = 0 then v // 2 end as mapped, (v >= 100)::int as on, count(*) as n from volume group by 1, 2, 3")
 def picture_values(spark, d):
     """Values through a lookup table, and over a threshold."""
-    v = c.volume(spark)
+    v = c.volume(spark, d)
     table = v.select("v").distinct().filter("v % 2 = 0").select("v", F.floor(F.col("v") / 2).alias("to"))
     out = filters.apply_map(filters.threshold(v, 100).withColumn("was", F.col("v")), table)
     return out.groupBy(F.col("was").alias("v"), F.col("v").alias("mapped"), "on").agg(F.count("*").alias("n"))

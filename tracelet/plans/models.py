@@ -323,7 +323,7 @@ def units(spark, d):
 select frame, x, y, z, (xr - xl) / 2 as g_x, (xl + xr + yl + yr + zl + zr - 6.0 * v)::double as laplacian, round(sqrt(((xr - xl) ** 2 + (yr - yl) ** 2 + (zr - zl) ** 2) / 4), 6) as steepness from n""",
 )
 def gradient(spark, d):
-    g = filters.gradient(c.volume(spark), line=("frame",))
+    g = filters.gradient(c.volume(spark, d), line=("frame",))
     return rounded(g.select("frame", "x", "y", "z", "g_x", "laplacian", "steepness"), "steepness")
 
 
@@ -334,7 +334,7 @@ def _weights(kernel: list[float]) -> str:
 
 @query("smoothed", f"with {c.VOLUME} select frame, x, y, z, round({_weights(filters.gaussian_kernel(1.5, 3))}, 4) as gauss, round({_weights(filters.log_kernel(1.0, 3))}, 4) as log, round({_weights(filters.box_kernel(2))}, 4) as box from volume window o as (partition by frame, y, z order by x)")
 def smoothed(spark, d):
-    v = c.volume(spark).select("frame", "x", "y", "z", "v")
+    v = c.volume(spark, d).select("frame", "x", "y", "z", "v")
     for name, kernel in (("gauss", filters.gaussian_kernel(1.5, 3)), ("log", filters.log_kernel(1.0, 3)), ("box", filters.box_kernel(2))):
         v = filters.convolve(v, ("frame", "y", "z"), "x", kernel, name)
     return rounded(v.drop("v"), "gauss", "log", "box", places=4)
@@ -342,13 +342,13 @@ def smoothed(spark, d):
 
 @query("spectrum", f"with {c.VOLUME}, k as (select unnest(range(0, 32)) as k) select frame, y, z, k, round(sum(v * cos(2 * pi() * k * x / 32)), 4) + 0.0 as re, round(-sum(v * sin(2 * pi() * k * x / 32)), 4) + 0.0 as im from volume, k group by 1, 2, 3, 4")
 def spectrum(spark, d):
-    s = filters.spectrum(c.volume(spark).select("frame", "y", "z", "x", "v"), ("frame", "y", "z"), "x")
+    s = filters.spectrum(c.volume(spark, d).select("frame", "y", "z", "x", "v"), ("frame", "y", "z"), "x")
     return rounded(s, "re", "im", places=4)
 
 
 @query("background_distance", f"with {c.VOLUME}, g as (select x, y, z, case when v % 7 = 0 then 0 else 1 end as v from volume where frame = 0), m as (select a.x, a.y, a.z, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d2 from g a, g b where a.v = 1 and b.v = 0 group by 1, 2, 3) select x, y, z, case when d2 < 12.25 then d2 end as d2 from m")
 def background_distance(spark, d):
-    g = c.volume(spark).filter("frame = 0").select("x", "y", "z", F.when(F.col("v") % 7 == 0, 0).otherwise(1).alias("v"))
+    g = c.volume(spark, d).filter("frame = 0").select("x", "y", "z", F.when(F.col("v") % 7 == 0, 0).otherwise(1).alias("v"))
     return filters.distance_to_background(g, 3)
 
 
@@ -368,7 +368,7 @@ def mean_flow(spark, d):
 
 @query("bright_voxels", f"with {c.VOLUME} select frame, count(*) as n, sum(v) as total from volume where v - 60 > 0 group by frame")
 def bright_voxels(spark, d):
-    v = c.volume(spark).withColumn("v", F.greatest(F.col("v") - 60, F.lit(0)))
+    v = c.volume(spark, d).withColumn("v", F.greatest(F.col("v") - 60, F.lit(0)))
     return rg.remove_zeros(v).groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.col("v") + 60).alias("total"))
 
 
