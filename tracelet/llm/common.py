@@ -16,9 +16,13 @@ from tracelet.operators import graph
 from tracelet.plans.durable import shared_folder
 
 FOLDS = 5
+BATCH_ROWS, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Texts are long: where the session leaves Spark's default, Arrow batches are kept to ROWS_A_BATCH rows, for both sides hold a batch whole."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(ROWS_A_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,10 +32,15 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def frugal(run: Callable) -> Callable:
-    """run, a function over a task's batches, such that its worker gives freed memory back when the task ends; workers are kept from stage to stage."""
+KEPT: dict = {}  # what a worker keeps from task to task of one operator
+
+
+def frugal(run: Callable, keep: bool = False) -> Callable:
+    """run, a function over a task's batches, such that its worker gives freed memory back when the task ends; workers are kept from stage to stage. Unless told to keep it, the task first drops what another operator has kept."""
 
     def task(batches):
+        if not keep:
+            KEPT.clear()
         try:
             yield from run(batches)
         finally:

@@ -5,9 +5,9 @@ front; what remains, shorter than a window, is an item. An item goes to the
 open window whose fill level, or to a new window if that is better, makes the
 sum of the squared counts of partially filled windows least (ties: the fullest
 level). The counts are kept in an array by level, so an item costs one pass
-over that array. Windows still open at the end of a task, or when too many are
-open, are cut again and joined: full windows, then powers of two that need no
-padding.
+over that array. When a task ends, or too many windows are open, the fullest of
+those still open are filled up with cuts of the emptiest, and what is left, less
+than a window, is cut at powers of two: nothing is padded.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
 packed as often as they come; a null id is carried; texts of any length are
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tracelet.llm.common import frugal
+from tracelet.llm.common import KEPT, frugal
 
 WINDOW = 2048
 END_ID = 1
@@ -127,14 +128,11 @@ class Tokens:
                 yield bytes(data[i:j])
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def tokens(path: str) -> Tokens:
-    """Kept by a worker from task to task."""
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+    """Kept by a worker from task to task of this operator."""
+    if path not in KEPT:
+        KEPT[path] = Tokens(path)
+    return KEPT[path]
 
 
 class Packer:
@@ -145,6 +143,7 @@ class Packer:
         self.count = np.zeros(window + 1, np.int64)  # of open windows by level; the last stays 0
         self.by_level: list[list[list]] = [[] for _ in range(window)]
         self.open = 0
+        self.moved = 0  # ids of windows that were taken apart again
 
     def level_for(self, n: int) -> int:
         """Of an open window, or 0 for a new one."""
@@ -187,24 +186,45 @@ class Packer:
         return out + (self.joined() if self.open > self.most else [])
 
     def joined(self) -> list:
-        """Joins all open windows, the fullest first, cutting where a window is full; the rest is cut at powers of two."""
-        pieces = [p for level in reversed(self.by_level) for pieces in level for p in pieces]
+        """Closes all open windows. The fullest stay as the rule made them and are filled up from the emptiest, whose pieces are cut for that; what is left in the end, less than a window, is cut at powers of two."""
+        levels = [(fill, pieces) for fill, level in enumerate(self.by_level) for pieces in level]
         self.by_level = [[] for _ in range(self.window)]
         self.count[:] = 0
         self.open = 0
-        left = sum(len(p[3]) // ID_BYTES for p in pieces)
-        out, now, room = [], [], 0
-        for doc, start, total, ids in pieces:
-            while ids:
-                if not room:
-                    room = self.window if left >= self.window else 1 << left.bit_length() - 1
-                part, ids = ids[: room * ID_BYTES], ids[room * ID_BYTES :]
-                n = len(part) // ID_BYTES
-                now.append((doc, start, total, part))
-                start, room, left = start + n, room - n, left - n
-                if not room:
-                    out += self.close(now)
-                    now = []
+        spare: deque[tuple] = deque()
+        out, held, low, high = [], 0, 0, len(levels) - 1
+
+        def take(n: int) -> list:
+            """n ids of the spare pieces."""
+            taken = []
+            while n:
+                doc, start, total, ids = spare.popleft()
+                here = min(n, len(ids) // ID_BYTES)
+                taken.append((doc, start, total, ids[: here * ID_BYTES]))
+                if ids[here * ID_BYTES :]:
+                    spare.appendleft((doc, start + here, total, ids[here * ID_BYTES :]))
+                n -= here
+            return taken
+
+        while low <= high:
+            room = self.window - levels[high][0]
+            while held < room and low < high:
+                spare.extend(levels[low][1])
+                held += levels[low][0]
+                low += 1
+            if held < room:
+                break
+            out += self.close(levels[high][1] + take(room))
+            held -= room
+            high -= 1
+        if low <= high:
+            spare.extendleft(reversed(levels[high][1]))
+            held += levels[high][0]
+        self.moved += sum(fill for fill, _ in levels[: high + 1])
+        while held:
+            size = 1 << held.bit_length() - 1
+            out += self.close(take(size))
+            held -= size
         return out
 
 
@@ -247,4 +267,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = SCHEMA.replace("doc_id long", f"doc_id {kind}") + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(frugal(run), schema)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run, keep=True), schema)
