@@ -306,3 +306,45 @@ def normalised(boxes: DataFrame) -> DataFrame:
     w = Window.partitionBy("id")
     sd = F.when(F.var_samp("v").over(w) < 1e-3, 1.0).otherwise(F.stddev_samp("v").over(w))
     return boxes.withColumn("v", (F.col("v") - F.avg("v").over(w)) / sd)
+
+
+def interpolated(points: DataFrame, voxels: DataFrame) -> DataFrame:
+    """(id, v): the value of a picture (x, y, z whole, v) at points (id, x, y, z) between its voxels, weighted by nearness along each axis; voxels that aren't there count as 0."""
+    near = points
+    weight = F.lit(1.0)
+    for c in ("x", "y", "z"):
+        low = F.floor(c)
+        part = F.array(F.struct(low.alias("at"), (1 - (F.col(c) - low)).alias("w")), F.struct((low + 1).alias("at"), (F.col(c) - low).alias("w")))
+        near = near.withColumn(f"c{c}", F.explode(part))
+        weight = weight * F.col(f"c{c}.w")
+    near = near.select("id", weight.alias("w"), *[F.col(f"c{c}.at").alias(c) for c in "xyz"])
+    met = near.filter("w > 0").join(voxels.select("x", "y", "z", "v"), ["x", "y", "z"])
+    return points.select("id").distinct().join(met.groupBy("id").agg(F.sum(F.col("w") * F.col("v")).alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def ellipsoid_boxes(ellipsoids: DataFrame, voxels: DataFrame, boxes: int = 3, samples: int = 2, reach: float = 1.5) -> DataFrame:
+    """(id, i, j, k, mean): mean interpolated intensity in boxes x boxes x boxes boxes around each ellipsoid (id, x, y, z, w: packed precision), along its own axes, from -reach to reach half-axes; samples points a box and axis. The longest axis comes first, each with its largest part positive."""
+    from tracelet.operators.mixture import eigen3
+
+    e = eigen3(ellipsoids)
+    n = boxes * samples
+    for a in ("p", "q", "r"):
+        e = e.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    along = [reach * ((2.0 * F.col(a) + 1) / n - 1) / F.sqrt(F.col("eigenvalues")[i]) for i, a in enumerate("pqr")]
+    place = [F.col(c) + sum((along[i] * F.col("vectors")[3 * i + j] for i in range(3)), F.lit(0.0)) for j, c in enumerate("xyz")]
+    own = F.struct("id", "p", "q", "r")
+    at = e.select(own.alias("id"), *[x.alias(c) for x, c in zip(place, "xyz")])
+    box = [F.floor(F.col(f"id.{a}") / samples).cast("int").alias(to) for a, to in zip("pqr", "ijk")]
+    return interpolated(at, voxels).select(F.col("id.id").alias("id"), *box, "v").groupBy("id", "i", "j", "k").agg(F.avg("v").alias("mean"))
+
+
+def box_contrasts(boxes: DataFrame) -> DataFrame:
+    """(id, axis, contrast) of three boxes an axis: the middle third's mean less that of the two outer ones, along each axis."""
+    long = boxes.select("id", "mean", F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(a).alias("at")) for n, a in enumerate("ijk")])).alias("s"))
+    middle, outer = F.avg(F.when(F.col("s.at") == 1, F.col("mean"))), F.avg(F.when(F.col("s.at") != 1, F.col("mean")))
+    return long.groupBy("id", F.col("s.axis").alias("axis")).agg((middle - outer).alias("contrast"))
+
+
+def mean_by_cell(voxels: DataFrame, nside: int = 1) -> DataFrame:
+    """(id, cell, mean, n): mean intensity by direction cell of voxels (id, x, y, z: offset from the centre, v)."""
+    return direction_cells(voxels, nside).groupBy("id", "cell").agg(F.avg("v").alias("mean"), F.count("*").alias("n"))

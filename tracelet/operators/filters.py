@@ -179,6 +179,33 @@ def combine(a: Column, operation: str, b: Column) -> Column:
     return made[operation]()
 
 
+def transposed(values: DataFrame) -> DataFrame:
+    """x and y of each place exchanged."""
+    return values.withColumnsRenamed({"x": "x2", "y": "x"}).withColumnRenamed("x2", "y")
+
+
+RANGES = {"uint8": (0, 255), "uint16": (0, 65535), "int32": (-(1 << 31), (1 << 31) - 1), "float": None}
+
+
+def converted(values: DataFrame, kind: str, shift: int = 0) -> DataFrame:
+    """v as a kind of RANGES, after a shift of its bits to the left (to the right if negative); whole kinds are kept to their range."""
+    c = F.col("v")
+    if shift:
+        c = F.call_function("shiftleft" if shift > 0 else "shiftright", c.cast("long"), F.lit(abs(shift)))
+    limits = RANGES[kind]
+    return values.withColumn("v", c.cast("double") if limits is None else F.least(F.greatest(c, F.lit(limits[0])), F.lit(limits[1])).cast("long"))
+
+
+def applied(values: DataFrame, rule: Column) -> DataFrame:
+    """v by a rule of the value and its coordinates."""
+    return values.withColumn("v", rule)
+
+
+def stacked(pictures: list[DataFrame], name: str = "layer") -> DataFrame:
+    """Pictures of the same columns as one, numbered from 0."""
+    return reduce(DataFrame.unionByName, [p.withColumn(name, F.lit(i)) for i, p in enumerate(pictures)])
+
+
 def threshold(values: DataFrame, cut: float) -> DataFrame:
     return values.withColumn("on", (F.col("v") >= cut).cast("int"))
 

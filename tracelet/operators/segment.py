@@ -11,7 +11,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelet.operators.regions import neighbour_offsets
@@ -197,6 +197,65 @@ def collapse_single_children(tree: DataFrame) -> DataFrame:
     return rest.withColumn("parent", F.col("above")).select(tree.columns)
 
 
+def splice_duplicates(tree: DataFrame, sizes: DataFrame, tau: float, duplicate: float = 0.1) -> DataFrame:
+    """tree (id, parent, thr) below tau without nodes that are nearly their parent (Jaccard distance of their voxels below `duplicate`; sizes (id, n)): their children come to the parent, and their siblings head trees of their own."""
+    from tracelet.operators.trees import follow
+
+    n = sizes.select("id", "n")
+    up = tree.select(F.col("id").alias("parent"), F.col("thr").alias("up")).join(n.select(F.col("id").alias("parent"), F.col("n").alias("m")), "parent")
+    near = tree.join(n, "id").join(up, "parent").filter((F.col("up") < tau) & (1 - F.col("n") / F.col("m") < duplicate)).select("id", "parent")
+    gone, split = near.select(F.col("id").alias("gid")), near.select(F.col("parent").alias("sid")).distinct()
+    to = follow(tree.join(gone, F.col("id") == F.col("gid"), "left").select("id", F.when(F.col("gid").isNotNull(), F.col("parent")).alias("to"))).select(F.col("id").alias("parent"), "end")
+    rest = tree.join(gone, F.col("id") == F.col("gid"), "left_anti").join(to, "parent", "left").join(split, F.col("parent") == F.col("sid"), "left")
+    return rest.withColumn("parent", F.when(F.col("sid").isNull(), F.col("end"))).select(tree.columns)
+
+
+def flood_object(voxels: DataFrame, seed: DataFrame, connectivity: int) -> DataFrame:
+    """The voxels (voxel_id, x, y, z, ...) that hang together with those of seed (voxel_id)."""
+    parts = _parts(voxels, connectivity)
+    wanted = parts.join(seed, "voxel_id", "left_semi").select("part").distinct()
+    return voxels.join(parts.join(wanted, "part", "left_semi").select("voxel_id"), "voxel_id", "left_semi")
+
+
+def objects(voxels: DataFrame, connectivity: int) -> DataFrame:
+    """(part, n, least and most of x, y, z) of all that hangs together; a part is named by its least voxel."""
+    met = voxels.join(_parts(voxels, connectivity), "voxel_id")
+    return met.groupBy("part").agg(F.count("*").alias("n"), *[f(c).alias(f"{name}_{c}") for c in ("x", "y", "z") for f, name in ((F.min, "min"), (F.max, "max"))])
+
+
+def _parts(voxels: DataFrame, connectivity: int) -> DataFrame:
+    from tracelet.operators import graph
+    from tracelet.operators.regions import shifted
+
+    near = shifted(voxels.select("voxel_id", "x", "y", "z"), connectivity).select(F.col("voxel_id").alias("u"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z"))
+    edges = near.join(voxels.select(F.col("voxel_id").alias("v"), "x", "y", "z"), ["x", "y", "z"]).select("u", "v")
+    return graph.components(edges, voxels.select(F.col("voxel_id").alias("node"))).select(F.col("node").alias("voxel_id"), F.col("component").alias("part"))
+
+
+def collapse_regions(edges: DataFrame, merge: Column) -> DataFrame:
+    """(node, into): regions put together over the edges (u, v, ...) for which a rule on the edge holds, all at once; into is the least of them."""
+    from tracelet.operators import graph
+
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    return graph.components(edges.filter(merge).select("u", "v"), nodes).select("node", F.col("component").alias("into"))
+
+
+def merge_partition(labels: DataFrame, mapping: DataFrame) -> DataFrame:
+    """labels (label, ...) under mapping (label, into); a label without one stays."""
+    return labels.join(mapping, "label", "left").withColumn("label", F.coalesce("into", "label")).drop("into")
+
+
+def geodesic_labels(voxels: DataFrame, seeds: DataFrame, connectivity: int) -> DataFrame:
+    """(voxel_id, label, steps): each voxel's nearest seed (voxel_id) by steps through the voxels, ties to the smaller; null where none is reached."""
+    from tracelet.operators import graph
+    from tracelet.operators.regions import shifted
+
+    near = shifted(voxels.select("voxel_id", "x", "y", "z"), connectivity).select(F.col("voxel_id").alias("u"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z"))
+    edges = near.join(voxels.select(F.col("voxel_id").alias("v"), "x", "y", "z"), ["x", "y", "z"]).filter("u < v").select("u", "v", F.lit(1.0).alias("weight"))
+    paths = graph.shortest_paths(edges, seeds.select(F.col("voxel_id").alias("node")))
+    return voxels.select("voxel_id").join(paths.select(F.col("node").alias("voxel_id"), F.col("source").alias("label"), F.col("distance").cast("int").alias("steps")), "voxel_id", "left")
+
+
 def relabel_dense(labels: DataFrame, min_size: int) -> DataFrame:
     """(frame, voxel_id, label) without labels of fewer than min_size voxels, numbered from 1 in each frame."""
     big = labels.filter("label > 0").groupBy("frame", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)

@@ -362,6 +362,19 @@ def extend_dead(nodes: DataFrame, owners: DataFrame, overlaps: DataFrame, frame:
     return held.withColumn("turn", first).filter(F.col("owner").isNotNull() | (F.col("turn") == 1)).select("id", "sv_id", "score", "owner")
 
 
+def extend_dead_with_halves(nodes: DataFrame, owners: DataFrame, overlaps: DataFrame, halves: DataFrame, frame: int, better: float = 0.1) -> DataFrame:
+    """extend_dead, but where a half of the region that a dead nucleus would take fits it better by `better` in Jaccard distance, that half: (id, sv_id, score, owner, half).
+
+    overlaps (a, b, n_common, jaccard); halves (sv_id, half, a, jaccard): how like each half is to a region.
+    """
+    taken = extend_dead(nodes, owners, overlaps, frame)
+    mine = owners.select(F.col("sv_id").alias("a"), "id")
+    whole = overlaps.join(mine, "a").groupBy("id", F.col("b").alias("sv_id")).agg(F.max("jaccard").alias("whole"))
+    part = halves.join(mine, "a").groupBy("id", "sv_id").agg(F.max(F.struct("jaccard", (-F.col("half")).alias("m"))).alias("h"))
+    fits = taken.join(whole, ["id", "sv_id"], "left").join(part, ["id", "sv_id"], "left")
+    return fits.select("id", "sv_id", "score", "owner", F.when(F.col("h.jaccard") > F.coalesce("whole", F.lit(0.0)) + better, -F.col("h.m")).alias("half"))
+
+
 def event_neighbourhoods(nodes: DataFrame, neighbours: DataFrame, radius: int) -> DataFrame:
     """(event, id): nodes within `radius` steps up or down of each death (before the last frame) and division, with the nearest neighbours (a_id, b_id) of those nodes; taken up again through neighbours until nothing is added."""
     last = nodes.agg(F.max("frame")).collect()[0][0]

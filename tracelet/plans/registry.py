@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelet.plans import files, lineages, models  # noqa: F401  adds its queries
+from tracelet.plans import basics, files, lineages, models  # noqa: F401  adds its queries
 from tracelet.plans.catalog import QUERIES, SQL
 
 FLAGSHIP = "knn_space"
