@@ -25,12 +25,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(planted)))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where its files have fewer splits than that: one shuffle of a small table for operators that are otherwise narrow."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +52,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify_languages(table(spark, sf_dir, "documents"))
+    return langid.identify_languages(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(spread(table(spark, sf_dir, "documents")), tokenizer_path())
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +74,7 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
