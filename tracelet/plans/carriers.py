@@ -80,15 +80,15 @@ TRACKS = """tracks as (
 
 
 def regions(spark: SparkSession, sf_dir: str, line: int | None = None) -> DataFrame:
-    """Suppliers as sets of parts."""
+    """Suppliers as sets of parts: all lines, or those whose number is odd (1) or even (2)."""
     rows = table(spark, sf_dir, "lineitem")
     if line is not None:
-        rows = rows.filter(F.col("l_linenumber") == line)
+        rows = rows.filter(F.col("l_linenumber") % 2 == line % 2)
     return rows.select(F.col("l_suppkey").alias("sv_id"), F.col("l_partkey").alias("voxel_id")).distinct()
 
 
 def region_sql(name: str, line: int | None) -> str:
-    return f"{name} as (select distinct l_suppkey as sv_id, l_partkey as voxel_id from lineitem" + (f" where l_linenumber = {line}" if line is not None else "") + ")"
+    return f"{name} as (select distinct l_suppkey as sv_id, l_partkey as voxel_id from lineitem" + (f" where l_linenumber % 2 = {line % 2}" if line is not None else "") + ")"
 
 
 DX, DY, DZ = 24, 18, 4
