@@ -592,7 +592,10 @@ def triangle_threshold(spark, d):
     return filters.triangle_threshold(_histogram(spark, d), "flag")
 
 
-@query("intermeans_threshold")
+@query(
+    "intermeans_threshold",
+    f"with recursive {HIST}, r(flag, t, step) as (select flag, floor((min(bin) + max(bin)) / 2.0)::bigint, 0 from h group by flag union all select r.flag, floor(((select sum(bin * n) / sum(n) from h where h.flag = r.flag and h.bin <= r.t) + (select sum(bin * n) / sum(n) from h where h.flag = r.flag and h.bin > r.t)) / 2.0)::bigint, step + 1 from r where step < 40) select flag, t as threshold from r where step = 40",
+)
 def intermeans_threshold(spark, d):
     return filters.intermeans_threshold(_histogram(spark, d), "flag")
 
@@ -673,7 +676,13 @@ def mixture_fit(spark, d):
     return mixture.strongest(f.select("frame", "sv_id", "k", "r"), 0.3)
 
 
-@query("kalman")
+@query(
+    "kalman",
+    f"""with recursive {c.TRACKS}, k(track, frame, p, s, a, b, e) as (select track, frame, score, 0.0::double, 4.0::double, 0.0::double, 1.0::double from tracks where frame = 0
+union all select t.track, t.frame, k.p + k.s + (k.a + 2 * k.b + k.e + 0.25) / (k.a + 2 * k.b + k.e + 4.25) * (t.score - k.p - k.s), k.s + (k.b + k.e + 0.5) / (k.a + 2 * k.b + k.e + 4.25) * (t.score - k.p - k.s),
+  4 * (k.a + 2 * k.b + k.e + 0.25) / (k.a + 2 * k.b + k.e + 4.25), 4 * (k.b + k.e + 0.5) / (k.a + 2 * k.b + k.e + 4.25), k.e + 1 - (k.b + k.e + 0.5) ** 2 / (k.a + 2 * k.b + k.e + 4.25) from k join tracks t on t.track = k.track and t.frame = k.frame + 1)
+select track, frame, round(p, 6) as x, round(2 * p, 6) as y from k""",
+)
 def kalman(spark, d):
     t = c.tracks(spark, d).select("track", "frame", F.col("score").alias("x"), (F.col("score") * 2).alias("y"), F.lit(0.0).alias("z"))
     k = mixture.kalman(t, 1.0, 4.0)
@@ -729,14 +738,27 @@ def gentle_boost(spark, d):
     return rounded(features.calibrated(scored, features.platt(scored)).select("doc_id", "score", "probability"), "score", "probability", places=4)
 
 
-@query("combined_features")
+_PER = 12 // features.RINGS
+
+
+@query(
+    "combined_features",
+    f"""with e as (select vec_id, list_transform(embedding[1:12], lambda v: v::double) as cl, list_transform(embedding[13:15], lambda v: v::double) as ec from embeddings), r as (select *, list_transform(range({features.RINGS}), lambda i: list_sum(cl[i * {_PER} + 1:(i + 1) * {_PER}]) / {_PER}) as rg, list_transform(range(11), lambda i: cl[i + 1] + cl[i + 2]) as tw from e)
+select vec_id, {3 + 12 + features.RINGS + features.RINGS * (features.RINGS - 1) // 2 + 66 + 55}::bigint as n, round(list_sum(ec) + list_sum(cl) + list_sum(rg) + list_sum(list_transform(range({features.RINGS}), lambda i: rg[i + 1] * ({features.RINGS} - 1 - 2 * i))) + list_sum(list_transform(range(12), lambda i: cl[i + 1] * (11 - 2 * i))) + list_sum(list_transform(range(11), lambda i: tw[i + 1] * (10 - 2 * i))), 6) as total from r""",
+)
 def combined_features(spark, d):
     e = c.table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("cells"), F.transform(F.slice("embedding", 13, 3), lambda x: x.cast("double")).alias("eccentricity"))
     f = features.combined_features(e)
     return rounded(f.select("vec_id", F.size("features").cast("long").alias("n"), F.aggregate("features", F.lit(0.0), lambda s, x: s + x).alias("total")), "total")
 
 
-@query("direction_cells")
+@query(
+    "direction_cells",
+    f"""with {c.POINTS}, d as (select id, z / sqrt(x * x + y * y + z * z) as c, case when atan2(y, x) < 0 then atan2(y, x) + 2 * pi() else atan2(y, x) end / (pi() / 2) as turn from points), b as (select *, floor(2 * (0.5 + turn - 0.75 * c))::bigint as jp, floor(2 * (0.5 + turn + 0.75 * c))::bigint as jm, least(3, floor(turn))::bigint as quarter, 2 * sqrt(3 * greatest(0, 1 - abs(c))) as t from d),
+f as (select *, jp // 2 as fp, jm // 2 as fm, least(1, floor((turn - quarter) * t))::bigint as a, least(1, floor((1 - turn + quarter) * t))::bigint as bb from b),
+g as (select case when abs(c) <= 2 / 3 then case when fp = fm then (fp & 3) + 4 when fp < fm then fp & 3 else (fm & 3) + 8 end when c >= 0 then quarter else quarter + 8 end as face, case when abs(c) <= 2 / 3 then jm % 2 when c >= 0 then 1 - bb else a end as u, case when abs(c) <= 2 / 3 then 1 - jp % 2 when c >= 0 then 1 - a else bb end as v from f)
+select (face * 4 + (u & 1) + 2 * (v & 1))::bigint as cell, count(*) as n from g group by 1""",
+)
 def direction_cells(spark, d):
     return features.direction_cells(c.points(spark, d), 2).groupBy("cell").agg(F.count("*").alias("n"))
 
