@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last keep the columns of documents. run() applies them in order, each reading
 what the stage before it wrote to the shared folder.
+
+Defined cases: a null text stays null and is packed as its end id alone; rows
+with a null id are never copies of others and stay; rows of equal ids each stand
+for themselves until the Jaccard stage, which drops rows by id; without labels of
+both kinds no document is rejected; an empty table gives no rows; other columns
+pass through up to packing.
 """
 
 from __future__ import annotations
