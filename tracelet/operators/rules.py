@@ -82,16 +82,27 @@ def death_then_division(nodes: DataFrame, neighbours: DataFrame, length: int) ->
     return _deaths(nodes, neighbours).join(ahead, "near").filter(F.col("last_frame") - F.col("frame") <= length).select("id")
 
 
+def _beside_deaths(nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(id, near, child): deaths that have a neighbour, and each of its children, null without."""
+    kids = nodes.filter("parent is not null").select(F.col("parent").alias("near"), F.col("id").alias("child"))
+    return _deaths(nodes, neighbours).filter("near is not null").select("id", "near").join(kids, "near", "left")
+
+
+def asked_overlaps(nodes: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(a, b): those rows of overlaps that death_ratio looks up."""
+    met = _beside_deaths(nodes, neighbours).filter("child is not null")
+    return met.select(F.explode(F.array("near", "id")).alias("a"), F.col("child").alias("b")).distinct()
+
+
 def death_ratio(nodes: DataFrame, neighbours: DataFrame, overlaps: DataFrame) -> DataFrame:
     """(id, ratio) of each death: (near - dead) / (near + 1e-4), where near and dead are the least Jaccard distances from the children of its nearest neighbour to that neighbour and to the dead node; over 0 the neighbour moved into its place.
 
-    overlaps (a, b, jaccard) of nodes with nodes of the next frame; without one the distance is 1. Without a neighbour the
-    ratio is 1.2.
+    overlaps (a, b, jaccard) of nodes with nodes of the next frame, where those of asked_overlaps are enough; without one the
+    distance is 1. Without a neighbour the ratio is 1.2.
     """
     d = _deaths(nodes, neighbours)
-    kids = nodes.filter("parent is not null").select(F.col("parent").alias("near"), F.col("id").alias("child"))
     o = overlaps.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    met = d.filter("near is not null").join(kids, "near", "left")
+    met = _beside_deaths(nodes, neighbours)
     for side, name in (("near", "jn"), ("id", "jd")):
         met = met.join(o.select(F.col("a").alias(side), F.col("b").alias("child"), F.col("jaccard").alias(name)), [side, "child"], "left")
     least = met.groupBy("id").agg(*[F.min(1 - F.coalesce(c, F.lit(0.0))).alias(c) for c in ("jn", "jd")])

@@ -8,6 +8,7 @@ from tracelet.operators import regions as rg
 from tracelet.operators import rules, segment, spatial, trees
 from tracelet.plans import carriers as c
 from tracelet.plans.catalog import TREE, TREES, query, rounded
+from tracelet.plans.durable import durable
 
 NEAR = 0.6
 # nodes of a frame nearer than NEAR touch, in the more voxels the nearer they are
@@ -76,9 +77,11 @@ l as (select dd.id, min(1 - coalesce(jn.jaccard, 0)) as jn, min(1 - coalesce(jd.
 select dd.id, round(coalesce((jn - jd) / (jn + 1e-4), 1.2), 6) as ratio from dd left join l using (id)""",
 )
 def death_ratio(spark, d):
-    f = c.forest(spark, d)
-    o = spatial.range_join(f, f, NEAR, frame_step=1).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (1 / (1 + F.sqrt("d2"))).alias("jaccard"))
-    return rounded(rules.death_ratio(f, _neighbours(f, 1), o), "ratio")
+    f = durable(c.forest(spark, d))
+    near = durable(spatial.nearest_in_space(f, NEAR))
+    met = spatial.within_range(rules.asked_overlaps(f, near), f, NEAR, frame_step=1)
+    o = met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (1 / (1 + F.sqrt("d2"))).alias("jaccard"))
+    return rounded(rules.death_ratio(f, near, o), "ratio")
 
 
 @query("displacement_overlap", f"{TREE} select n.id, round(coalesce(case when p.id is not null and n.id % 3 <> 0 then 1 - 1 / (1 + abs(n.score - p.score)) end, 0), 6) as distance from nodes n left join nodes p on p.id = n.parent")
