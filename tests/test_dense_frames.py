@@ -50,7 +50,7 @@ def rows_joined(spark, run):
     return most
 
 
-@pytest.mark.parametrize("name", ["death_ratio"])
+@pytest.mark.parametrize("name", ["death_ratio", "death_then_division", "neighbour_division"])
 def test_joins_grow_with_the_nodes(spark, dense, name):
     found = []
     most = rows_joined(spark, lambda: found.append(compare(spark, registry.QUERIES[name], registry.SQL[name], dense)))

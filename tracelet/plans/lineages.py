@@ -18,8 +18,8 @@ nn as (select a as id, b as near from (select *, row_number() over (partition by
 places as (select id, branch, place, n_children, length from branched join summary using (branch))"""
 
 
-def _neighbours(f, k=10_000):
-    return spatial.knn_in_space(f, k, NEAR)
+def _neighbours(f):
+    return spatial.nearest_in_space(f, NEAR)
 
 
 def _touches(f):
@@ -60,14 +60,14 @@ def parallel_lineages(spark, d):
 
 @query("neighbour_division", f"{TREES}, {TOUCH} select k.id, (case when s.ends = 'death' then -1 else 1 end * (s.length - 1 - p.place))::bigint as steps from kids k left join nn on nn.id = k.id left join branched p on p.id = nn.near left join summary s on s.branch = p.branch where k.n_children = 0")
 def neighbour_division(spark, d):
-    f = c.forest(spark, d)
-    return rules.neighbour_division(f, _neighbours(f, 1))
+    f = durable(c.forest(spark, d))
+    return rules.neighbour_division(f, _neighbours(f))
 
 
 @query("death_then_division", f"{TREES}, {TOUCH} select n.id from kids k join nodes n using (id) join nn on nn.id = k.id join branched p on p.id = nn.near join summary s on s.branch = p.branch where k.n_children = 0 and s.ends = 'division' and s.last_frame - n.frame <= 1")
 def death_then_division(spark, d):
     f = c.forest(spark, d)
-    return rules.death_then_division(f, _neighbours(f, 1), 1)
+    return rules.death_then_division(f, _neighbours(f), 1)
 
 
 @query(
@@ -78,7 +78,7 @@ select dd.id, round(coalesce((jn - jd) / (jn + 1e-4), 1.2), 6) as ratio from dd
 )
 def death_ratio(spark, d):
     f = durable(c.forest(spark, d))
-    near = durable(spatial.nearest_in_space(f, NEAR))
+    near = durable(_neighbours(f))
     met = spatial.within_range(rules.asked_overlaps(f, near), f, NEAR, frame_step=1)
     o = met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), (1 / (1 + F.sqrt("d2"))).alias("jaccard"))
     return rounded(rules.death_ratio(f, near, o), "ratio")
