@@ -16,7 +16,7 @@ from tracelet.operators import graph
 from tracelet.plans.durable import shared_folder
 
 FOLDS = 5
-BATCH_ROWS, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BATCH_ROWS, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,6 +40,7 @@ OPEN_MOST = 4096
 CACHE_MOST = 200_000
 CACHE_CHARS = 64
 GROUP_BYTES = 4_000_000
+AT_ONCE = 2000
 LETTERS_BELOW = "\u0130"  # letters up to here stay one letter in lower case
 MARKS = ".,;:!?$%&*#)(|-"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,8 +81,8 @@ class Tokens:
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Of words of Latin letters; each is one word to the tokenizer, whose last piece is marked as an end."""
         out: dict[str, bytes] = {}
-        for a in range(0, len(words), 2000):
-            group = words[a : a + 2000]
+        for a in range(0, len(words), AT_ONCE):
+            group = words[a : a + AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             data, stops = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES
             if len(stops) != len(group):
@@ -102,7 +103,10 @@ class Tokens:
                 other.append(r)
         tails = {t for _, t in parts.values()}
         other += [t for t in tails if t not in found and self.get(t) is None]
-        known = {"": b""} | {r: np.array(e.ids, "<u4").tobytes() for r, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False))}
+        known = {"": b""}
+        for a in range(0, len(other), AT_ONCE):  # an encoding holds its tokens' texts, offsets and masks too
+            group = other[a : a + AT_ONCE]
+            known |= {r: np.array(e.ids, "<u4").tobytes() for r, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False))}
         known |= {t: self.get(t) for t in tails if t not in known}
         cores = {c for c, _ in parts.values()}
         held = {c: ids for c in cores if (ids := self.get(c)) is not None}
@@ -128,6 +132,26 @@ class Tokens:
                 yield bytes(data[i:j])
 
 
+def regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) as they come, in batches of GROUP_BYTES of text and what the last row has beyond, however many rows the given ones have."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            before = int(ends[a - 1]) if a else 0
+            b = min(batch.num_rows, int(np.searchsorted(ends, before + GROUP_BYTES - size)) + 1)
+            held.append(batch.slice(a, b - a))
+            size += int(ends[b - 1]) - before
+            a = b
+            if size >= GROUP_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokens(path: str) -> Tokens:
     """Kept by a worker from task to task of this operator."""
     if path not in KEPT:
@@ -252,7 +276,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays(out, names)
 
         ids_type = None
-        for batch in batches:
+        for batch in regrouped(batches):
             ids_type = batch.schema.field(0).type
             placed = []
             for doc, ids in zip(batch.column(0).to_pylist(), toks.encode(batch.column(1))):
@@ -262,6 +286,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     placed = []
             if placed:
                 yield rows(placed)
+            pa.default_memory_pool().release_unused()
         if ids_type is not None and (placed := packer.joined()):
             yield rows(placed)
 
